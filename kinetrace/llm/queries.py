@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import lines, shards
+from . import bpe, fingerprints, lines, shards
 
 QUERIES = {
     "op3_sharding": shards.op3_sharding,
+    "op6_bpe": bpe.op6_bpe,
     "op7_line_dedup": lines.op7_line_dedup,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
 }
 
 SQL = {
