@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, lines, shards
+from . import bpe, fingerprints, lines, packing, shards, warc
 
 QUERIES = {
     "op3_sharding": shards.op3_sharding,
+    "op4_packing": packing.op4_packing,
+    "op5_warc": warc.op5_warc,
     "op6_bpe": bpe.op6_bpe,
     "op7_line_dedup": lines.op7_line_dedup,
     "op9_fingerprints": fingerprints.op9_fingerprints,
