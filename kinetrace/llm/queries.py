@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, lines, packing, shards, warc
+from . import bpe, fingerprints, language, lines, packing, shards, toxicity, warc
 
 QUERIES = {
+    "op1_language": language.op1_language,
     "op3_sharding": shards.op3_sharding,
     "op4_packing": packing.op4_packing,
     "op5_warc": warc.op5_warc,
     "op6_bpe": bpe.op6_bpe,
     "op7_line_dedup": lines.op7_line_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_fingerprints": fingerprints.op9_fingerprints,
 }
 
