@@ -45,21 +45,26 @@ class Bpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-        letters = byte_letters()
+        letters, suffix = byte_letters(), spec["model"].get("end_of_word_suffix") or ""
         back = {c: b for b, c in enumerate(letters)}
         self.size = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         self.bytes_of = [b""] * self.size
         for word, i in vocab.items():
-            self.bytes_of[i] = bytes(back[c] for c in word)
+            self.bytes_of[i] = bytes(back[c] for c in word.removesuffix(suffix)) + b" " * (suffix != "" and word.endswith(suffix))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for word, i in self.special.items():
             self.bytes_of[i] = word.encode()
         self.splits = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.first = np.array([vocab[letters[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[letters[b] + suffix] for b in range(256)], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
+        # Ranks of pairs of bytes inside a word, and of those that end it.
+        every = np.arange(256)
+        self.inner = self.rank(self.first[every][:, None], self.first[every][None, :]).ravel()
+        self.ending = self.rank(self.first[every][:, None], self.last[every][None, :]).ravel()
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.kept: dict[str, bytes] = {}  # units and their ids, as of late
         self.older: dict[str, bytes] = {}  # those before; what is met again moves back
@@ -72,16 +77,24 @@ class Bpe:
 
     def merge_all(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, with one segment tree for each, all of the same width."""
-        n, width = len(words), 1 << max(1, (max(map(len, words)) - 1).bit_length())
-        lengths = np.array([len(w) for w in words], np.int64)
-        symbol = np.full((n, width + 1), -1, np.int64)
-        mask = np.arange(width) < lengths[:, None]
-        symbol[:, :width][mask] = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        n = len(words)
+        lengths = np.fromiter(map(len, words), np.int64, n)
+        width = 1 << max(1, (int(lengths.max()) - 1).bit_length())
         places = np.arange(width, dtype=np.int64)
+        mask = places < lengths[:, None]
+        data = np.zeros((n, width + 1), np.int64)
+        data[:, :width][mask] = np.frombuffer(b"".join(words), np.uint8)
+        every, ends = np.arange(n), lengths - 1
+        symbol = np.full((n, width + 1), -1, np.int64)
+        symbol[:, :width][mask] = self.first[data[:, :width][mask]]
+        symbol[every, ends] = self.last[data[every, ends]]
         after = np.where(places + 1 < lengths[:, None], places + 1, width)  # the next living symbol; width: none
         before = np.broadcast_to(places - 1, (n, width)).copy()
+        pair = data[:, :width] * 256 + data[:, 1:]
+        ranks = self.inner[pair]
+        ranks[every, ends - 1] = self.ending[pair[every, ends - 1]]
+        ranks[places >= ends[:, None]] = NONE
         tree = np.full((n, 2 * width), NONE, np.int64)
-        ranks = self.rank(symbol[:, :width], symbol[:, 1:])
         tree[:, width:] = np.where(ranks == NONE, NONE, ranks * width + places)
         level = width
         while level > 1:
@@ -125,7 +138,7 @@ class Bpe:
         """The same for one long word, with lists instead of arrays: a few logarithmic updates for each merge."""
         n = len(word)
         width = 1 << (n - 1).bit_length()
-        symbol = self.first[np.frombuffer(word, np.uint8)].tolist()
+        symbol = [*self.first[np.frombuffer(word[:-1], np.uint8)].tolist(), int(self.last[word[-1]])]
         ranks = self.rank(np.array(symbol[:-1], np.int64), np.array(symbol[1:], np.int64))
         leaves = np.full(width, NONE, np.int64)
         leaves[: n - 1] = np.where(ranks == NONE, NONE, ranks * width + np.arange(n - 1))
@@ -169,18 +182,18 @@ class Bpe:
     def words(self, words: list[bytes]) -> list[bytes]:
         """The ids of pretokens in their order: those of like width go through one array of trees."""
         done = [b""] * len(words)
-        by_width: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            if len(w) < 2:
-                done[i] = self.first[np.frombuffer(w, np.uint8)].astype("<u4").tobytes()
-            elif len(w) > 256:
-                done[i] = self.merge_long(w)
-            else:
-                by_width.setdefault(max(8, 1 << (len(w) - 1).bit_length()), []).append(i)
-        for width, own in by_width.items():
-            step = max(1, 65536 // width)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for i in np.flatnonzero(lengths == 1).tolist():
+            done[i] = self.last[np.frombuffer(words[i], np.uint8)].astype("<u4").tobytes()
+        for i in np.flatnonzero(lengths > 256).tolist():
+            done[i] = self.merge_long(words[i])
+        low = 1
+        for width in (4, 8, 16, 32, 64, 128, 256):
+            own = np.flatnonzero((lengths > low) & (lengths <= width)).tolist()
+            low, step = width, 65536 // width
             for k in range(0, len(own), step):
-                for i, ids in zip(own[k : k + step], self.merge_all([words[i] for i in own[k : k + step]]), strict=True):
+                part = own[k : k + step]
+                for i, ids in zip(part, self.merge_all([words[i] for i in part]), strict=True):
                     done[i] = ids
         return done
 
