@@ -1,7 +1,8 @@
 """Event analytics as DataFrame transforms: groups, ordered windows, sessions, range joins.
 
-``keys`` are the columns that set lists of events apart; nothing crosses them.  Events need
-start_ps, end_ps and type, and duration_ps where durations are asked for.
+``keys`` are the columns by which statistics are told apart.  Events of different trajectories
+never meet, even if traj_id is no key.  Events need start_ps, end_ps and type, and duration_ps
+where durations are asked for.
 """
 
 from __future__ import annotations
@@ -21,6 +22,11 @@ def checked_window(value: float) -> float:
     return value
 
 
+def apart(events: DataFrame, keys) -> list[str]:
+    """The columns that set lists of events apart: the keys, and the trajectory in any case."""
+    return [*keys, *(c for c in KEYS if c in events.columns and c not in keys)]
+
+
 def in_order(keys=KEYS, *tie: str):
     """Events by start, end, type and then by the columns in tie."""
     return Window.partitionBy(*keys).orderBy("start_ps", "end_ps", "type", *tie)
@@ -32,7 +38,7 @@ def gap(start: Column, end: Column) -> Column:
 
 def recurrence_statistics(events: DataFrame, keys=KEYS) -> DataFrame:
     """Per type: count, total, mean and median duration, mean gap to the event before (0 for a single one)."""
-    w = Window.partitionBy(*keys, "type").orderBy("start_ps", "end_ps")
+    w = Window.partitionBy(*apart(events, keys), "type").orderBy("start_ps", "end_ps")
     d = events.withColumn("__gap", gap(F.col("start_ps"), F.lag("end_ps").over(w)))
     d = d.withColumn("__gap", F.when(F.lag("end_ps").over(w).isNotNull(), F.col("__gap")))
     return d.groupBy(*keys, "type").agg(
@@ -55,9 +61,10 @@ def conditional_probability(events: DataFrame, antecedent: str, consequent: str,
     The first consequent start at or after each end decides, found by one sort of both.
     """
     limit = checked_window(within_ps)
-    a = events.where(F.col("type") == antecedent).select(*keys, F.col("end_ps").alias("at"), F.lit(1).alias("is_a"), F.lit(None).cast("double").alias("start"))
-    b = events.where(F.col("type") == consequent).select(*keys, F.col("start_ps").alias("at"), F.lit(0).alias("is_a"), F.col("start_ps").cast("double").alias("start"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("at"), F.asc("is_a")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = apart(events, keys)
+    a = events.where(F.col("type") == antecedent).select(*own, F.col("end_ps").alias("at"), F.lit(1).alias("is_a"), F.lit(None).cast("double").alias("start"))
+    b = events.where(F.col("type") == consequent).select(*own, F.col("start_ps").alias("at"), F.lit(0).alias("is_a"), F.col("start_ps").cast("double").alias("start"))
+    w = Window.partitionBy(*own).orderBy(F.desc("at"), F.asc("is_a")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = a.unionByName(b).withColumn("start", F.last("start", ignorenulls=True).over(w)).where("is_a = 1")
     hit = F.coalesce(F.col("start") <= F.col("at") + F.lit(limit), F.lit(False))
     found = d.groupBy(*keys).agg((F.sum(hit.cast("long")) / F.count(F.lit(1))).alias("probability"))
@@ -66,7 +73,7 @@ def conditional_probability(events: DataFrame, antecedent: str, consequent: str,
 
 def transitions(events: DataFrame, within_ps: float | None = None, keys=KEYS, tie=()) -> DataFrame:
     """(*keys, source, target, count) of adjacent events, without zeros."""
-    w = in_order(keys, *tie)
+    w = in_order(apart(events, keys), *tie)
     d = events.select(*keys, F.col("type").alias("source"), F.lead("type").over(w).alias("target"), gap(F.lead("start_ps").over(w), F.col("end_ps")).alias("gap"))
     d = d.where(F.col("target").isNotNull())
     if within_ps is not None:
@@ -87,7 +94,7 @@ def motifs(events: DataFrame, length: int, within_ps: float | None = None, keys=
     """(*keys, motif, count): runs of so many types in order, of a span within the window."""
     if not isinstance(length, int) or isinstance(length, bool) or length <= 0:
         raise ValueError("motif length must be a positive integer")
-    w = in_order(keys, *tie)
+    w = in_order(apart(events, keys), *tie)
     frame = w.rowsBetween(0, length - 1)
     d = events.select(*keys, F.collect_list("type").over(frame).alias("motif"), (F.lead("end_ps", length - 1).over(w) - F.col("start_ps")).alias("span"))
     d = d.where(F.size("motif") == length)
@@ -105,7 +112,7 @@ def recurring_subsequences(events: DataFrame, length: int, minimum_count: int =
 
 def temporal_clusters(events: DataFrame, max_gap_ps: float, keys=KEYS, tie=()) -> DataFrame:
     """(*keys, cluster, start_ps, end_ps, event_indices, types): events in order, cut where one starts later than the latest end so far plus the gap."""
-    limit = checked_window(max_gap_ps)
+    limit, keys = checked_window(max_gap_ps), apart(events, keys)
     w = in_order(keys, *tie)
     reach = F.max("end_ps").over(w.rowsBetween(Window.unboundedPreceding, -1))
     d = events.select(*keys, "start_ps", "end_ps", "type", (F.row_number().over(w) - 1).cast("long").alias("__i"), F.coalesce((F.col("start_ps") - reach > F.lit(limit)).cast("long"), F.lit(0)).alias("__cut"))
@@ -115,6 +122,7 @@ def temporal_clusters(events: DataFrame, max_gap_ps: float, keys=KEYS, tie=()) -
 
 
 def graph_nodes(events: DataFrame, keys=KEYS, tie=()) -> DataFrame:
+    keys = apart(events, keys)
     return events.select(*keys, (F.row_number().over(in_order(keys, *tie)) - 1).cast("long").alias("id"), "type", "start_ps", "end_ps")
 
 
@@ -123,6 +131,7 @@ def graph_edges(events: DataFrame, within_ps: float | None = None, keys=KEYS, ti
 
     With a window the join is by bins of that width: an event meets those of its own bin and the next.
     """
+    keys = apart(events, keys)
     n = graph_nodes(events, keys, tie)
     a = n.select(*keys, F.col("id").alias("source"), F.col("end_ps").alias("__end"))
     b = n.select(*keys, F.col("id").alias("target"), F.col("start_ps").alias("__start"))
