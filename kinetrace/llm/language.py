@@ -118,7 +118,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     code = codewords(len(langs))
     bits = code.shape[1] if langs else 1
     if len(langs) < 2:
-        return Model(langs, code.reshape(len(langs), -1), np.zeros((BUCKETS, bits), np.float32), np.ones(bits), np.zeros(bits), np.ones(bits))
+        return Model(langs, code.reshape(len(langs), bits), np.zeros((BUCKETS, bits), np.float32), np.ones(bits), np.zeros(bits), np.ones(bits))
     label = np.array([langs.index(lang) for _, lang in rows])
 
     def weights(own: list[int]) -> np.ndarray:
