@@ -42,6 +42,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stash_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """The same in buckets of a key, so that joins on it deal out the other side only."""
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table_ = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, key).sortBy(key).option("path", new_path(spark, name)).saveAsTable(table_)
+    return spark.table(table_)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Long texts: fewer rows in an Arrow batch, so that a batch stays within some MB."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -93,11 +102,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", out: str = "comp")
         # Large star: every larger neighbour of u goes to the smallest of u and its neighbours.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(fresh(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # Small star: u and its smaller neighbours go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        l2 = large.join(fresh(least), "u")
-        small = l2.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(l2.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        l2 = large.join(least, "u")
+        small = l2.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         e = stash(small, "edges")
         then = signature(e)
         if then == now:

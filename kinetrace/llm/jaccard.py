@@ -13,15 +13,17 @@ rare shingles first.
   sets they may link with.
 
 The boundary is where the estimated cost, subsets against list entries and what a scan of
-a list meets, is least.  Lists are not turned into all their pairs: a list first links its
-members to one of them, in a few rounds with another one each; only classes of the same
-list that are still in different components are then paired.  Each pair is verified on
-whole sets.
+a list meets, is least.  Only short lists give all their pairs.  A long list first links its
+members to one of them, in later rounds to some others; only classes of the same
+list that are still in different components are then paired, but for those that the
+triangle inequality keeps apart.  Each pair is verified on whole sets.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import chain
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, fresh, small_batches, stash, table
+from .common import components, fresh, small_batches, stash, stash_by, table
 
 WORDS, PERCENT = 5, 75
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
 BOUNDARIES = (0, 4, 8, 12, 16, 24, 32, 48, 64)
-ROUNDS = 3
+#: Members of a list that the others are compared with, in each round.
+HUBS = (1, 16)
+ROUNDS = len(HUBS)
+#: Members of an open list to which distances are measured before its other pairs are.
+REFERENCES = 3
 #: A bitmap of the classes that have candidates; other documents' sets aren't dealt out.
 WANTED_BITS = 25
+#: All pairs of a list of so many classes are candidates; longer lists go by hubs.
+SHORT_LIST = 16
 PAIRING = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,59 +53,80 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the word shingles of a text (A-Z lower-cased, words apart by [\\x20\\x09-\\x0D]).
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles (A-Z lower-cased, words apart by [\\x20\\x09-\\x0D]).
 
-    With fewer words than a shingle has, the whole sequence is the one shingle.
+    With fewer words than a shingle has, the whole sequence is the one shingle.  All words
+    of a batch are hashed in one array; runs across two texts are left out.
     """
-    w = (text or "").encode("utf-8", "replace").lower().split()
-    if not w:
-        return np.empty(0, np.uint64)
-    one = xxhash.xxh3_64_intdigest
-    if len(w) < words:
-        return np.array([one(b" ".join(w), 1)], np.uint64)
-    h = np.fromiter(map(one, w), np.uint64, len(w))
-    n, out = len(w) - words + 1, np.zeros(len(w) - words + 1, np.uint64)
-    for i in range(words):
-        out = mixed(out * PAIRING + h[i : i + n] + np.uint64(i + 1))
-    return np.unique(out)
+    split = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+    sizes = [len(w) for w in split]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(split)), np.uint64, sum(sizes))
+    n = len(h) - words + 1
+    run = np.zeros(max(n, 0), np.uint64)
+    for i in range(words if n > 0 else 0):
+        run *= PAIRING
+        run += h[i : i + n]
+        run ^= run >> np.uint64(32)
+        run *= np.uint64(0xFF51AFD7ED558CCD)
+        run ^= run >> np.uint64(29)
+    out, at = [], 0
+    for w, size in zip(split, sizes, strict=True):
+        if size >= words:
+            s = run[at : at + size - words + 1]
+            s.sort()
+            distinct = np.empty(len(s), bool)
+            distinct[0] = True
+            np.not_equal(s[1:], s[:-1], out=distinct[1:])
+            out.append(s[distinct])
+        elif size:
+            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(w), 1)], np.uint64))
+        else:
+            out.append(np.empty(0, np.uint64))
+        at += size
+    return out
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set, as two signed numbers; (0, 0) for the empty one."""
     if not len(s):
         return 0, 0
-    d = xxhash.xxh3_128_digest(s.tobytes())
+    d = xxhash.xxh3_128_digest(s)
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
-    """Counts of the shingles of all documents by hash, one byte each on a logarithmic scale (8 steps a doubling).
+def surveyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """One pass over all texts: (doc_id, c1, c2, n_shingles) for each row, and a sketch of the corpus.
 
-    The size is fixed: 2**20 counters, summed over blocks before they reach the driver.
+    The sketch has the counts of all shingles by hash, one byte each on a logarithmic scale
+    (8 steps a doubling).  Its size is fixed: 2**20 counters, summed over blocks before they
+    reach the driver.
     """
     size = 1 << SKETCH_BITS
+    names = ["block", "counts", "doc_id", "c1", "c2", "n_shingles"]
+    types = [pa.int64(), pa.binary(), *[pa.int64()] * 4]
 
-    def count(batches):
-        total = np.zeros(size, np.int64)
-        seen = False
+    def run(batches):
+        total, seen = np.zeros(size, np.int64), False
         for b in batches:
-            own = [shingles(t) for t in b.column(0).to_pylist()]
+            own = shingle_sets(b.column(1).to_pylist())
             if own:
                 total += np.bincount((np.concatenate(own) & np.uint64(size - 1)).astype(np.int64), minlength=size)
                 seen = True
-        if seen:
-            for i in range(0, size, SKETCH_BLOCK):
-                yield pa.RecordBatch.from_pydict({"block": [i // SKETCH_BLOCK], "counts": [total[i : i + SKETCH_BLOCK].astype("<u4").tobytes()]})
-
-    parts = docs.select("text").mapInArrow(count, "block long, counts binary")
+            d = [digest(s) for s in own]
+            none = [None] * len(own)
+            cols = [none, none, b.column(0), [x[0] for x in d], [x[1] for x in d], [len(s) for s in own]]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+        for i in range(0, size if seen else 0, SKETCH_BLOCK):
+            cols = [[i // SKETCH_BLOCK], [total[i : i + SKETCH_BLOCK].astype("<u4").tobytes()], [None], [None], [None], [None]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     def summed(batches):
         """Blocks come sorted: one running sum at a time."""
         at, total = None, None
 
         def done():
-            return pa.RecordBatch.from_pydict({"block": [at], "counts": [np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8).tobytes()]}, schema=pa.schema([("block", pa.int64()), ("counts", pa.binary())]))
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8).tobytes()], pa.binary())], names=["block", "counts"])
 
         for b in batches:
             for block, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -109,12 +138,12 @@ def sketch(docs: DataFrame) -> np.ndarray:
         if at is not None:
             yield done()
 
-    blocks = size // SKETCH_BLOCK
-    rows = parts.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(summed, "block long, counts binary").collect()
+    found = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, counts binary, doc_id long, c1 long, c2 long, n_shingles long"), "survey")
+    parts = found.where("block IS NOT NULL").select("block", "counts")
     out = np.zeros(size, np.uint8)
-    for r in rows:
+    for r in parts.repartition(size // SKETCH_BLOCK, "block").sortWithinPartitions("block").mapInArrow(summed, "block long, counts binary").collect():
         out[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(bytes(r.counts), np.uint8)
-    return out
+    return found.where("block IS NULL").select("doc_id", "c1", "c2", "n_shingles"), out
 
 
 def first(n: int, k: int) -> int:
@@ -141,57 +170,131 @@ def choose_boundary(sizes: dict[int, int], counts: np.ndarray) -> int:
     return min(BOUNDARIES, key=cost)
 
 
-def keys_of(s: np.ndarray, counts: np.ndarray, boundary: int) -> np.ndarray:
-    """The keys under which a set of at least 3 shingles is listed."""
+def keys_of(s: np.ndarray, counts: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which a set of at least 3 shingles is listed, and the most it can share with a set if that key is the first they share.
+
+    Keys of subsets are even numbers, those of single shingles odd.
+    """
     n = len(s)
     rank = counts[(s & np.uint64(len(counts) - 1)).astype(np.int64)]
-    s = s[np.lexsort((s, rank))[: first(n, 2)]]
-    out = []
+    k = first(n, 2)
+    s = s[np.lexsort((s, rank))[:k]]
+    keys, most = [], []
     if n <= boundary:
         i, j = np.triu_indices(len(s), 1)
         a, b = np.minimum(s[i], s[j]), np.maximum(s[i], s[j])
-        out.append(mixed(a * PAIRING + mixed(b + np.uint64(7))))
+        keys.append(mixed(a * PAIRING + mixed(b + np.uint64(7))) & ~np.uint64(1))
+        most.append(n - j + 1)
     if n > 0.75 * boundary:
-        out.append(mixed(s[: first(n, 1)]))
-    return np.concatenate(out)
+        keys.append(mixed(s[: first(n, 1)]) | np.uint64(1))
+        most.append(n - np.arange(first(n, 1)))
+    return np.concatenate(keys), np.concatenate(most)
+
+
+def may_link(n, m, r, q):
+    """Whether sets of n and m shingles that share at most r and q may link."""
+    return (100 + PERCENT) * np.minimum(r, q) >= PERCENT * (n + m)
 
 
 def listed(docs: DataFrame, counts: np.ndarray, boundary: int) -> DataFrame:
-    """(key, c1, c2, n): the lists; a class is listed at most once by a task, however many copies it has there."""
+    """What the lists hold: pairs (key, c, n, r, d, m) of short lists, and entries (key, c, n, r) of long ones.
+
+    r of a pair is 1 if it may link with the key as the first it shares, else 0.
+    A class is listed at most once by a task, however many copies it has there.  Lists are
+    read in order of their keys, and no more than a batch and one short list is held.
+    """
+    names = ["key", "c", "n", "r"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches):
         met: set[tuple[int, int]] = set()
+
+        def batch(cols):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, types, strict=True)], names=names)
+
+        cols, held = [[], [], [], []], 0
         for b in batches:
-            cols: list[list] = [[], [], [], []]
-            held = 0
-            for t in b.column(0).to_pylist():
-                s = shingles(t)
+            for s in shingle_sets(b.column(0).to_pylist()):
                 if len(s) < 3 or (d := digest(s)) in met:
                     continue
                 met.add(d)
-                k = keys_of(s, counts, boundary)
-                for c, v in zip(cols, (k.view(np.int64), np.full(len(k), d[0]), np.full(len(k), d[1]), np.full(len(k), len(s), np.int32)), strict=True):
+                k, r = keys_of(s, counts, boundary)
+                for c, v in zip(cols, (k.view(np.int64), np.full(len(k), d[0]), np.full(len(k), len(s), np.int32), r), strict=True):
                     c.append(v)
                 held += len(k)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "c1", "c2", "n"])
+                if held > 50_000:
+                    yield batch(cols)
                     cols, held = [[], [], [], []], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "c1", "c2", "n"])
-
-    return docs.select("text").mapInArrow(run, "key long, c1 long, c2 long, n int")
-
-
-def classes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, c1, c2, n_shingles) for each row."""
-
-    def run(batches):
-        for b in batches:
-            own = [shingles(t) for t in b.column(1).to_pylist()]
-            d = [digest(s) for s in own]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array([len(s) for s in own], pa.int64())], names=["doc_id", "c1", "c2", "n_shingles"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, c1 long, c2 long, n_shingles long")
+        if held:
+            yield batch(cols)
+
+    out_names = [*names, "d", "m"]
+    out_types = [*types, pa.int64(), pa.int32()]
+
+    def read(batches):
+        last, long = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32)], None
+        for b in chain(batches, [None]):
+            cols = last if b is None else [np.concatenate([x, c.to_numpy()]) for x, c in zip(last, b.columns, strict=True)]
+            # Entries of one class in one list come together: tasks have listed its copies.
+            fresh_ = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])] if len(cols[0]) else np.zeros(0, bool)
+            cols = [c[fresh_] for c in cols]
+            key = cols[0]
+            if not len(key):
+                continue
+            # The last list may go on in the next batch, unless it is already long.
+            cut = len(key) if b is None else int(np.searchsorted(key, key[-1]))
+            more = len(key) - cut > SHORT_LIST
+            if more:
+                cut = len(key)
+            last = [c[cut:] for c in cols]
+            key, c, n, r = (x[:cut] for x in cols)
+            if not cut:
+                continue
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[starts, cut])
+            keep = np.repeat(sizes > SHORT_LIST, sizes)
+            if long is not None:
+                keep |= key == long
+            if more:
+                long = key[-1]
+            if keep.any():
+                count = int(keep.sum())
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[keep], t) for x, t in zip((key, c, n, r), types, strict=True)), pa.nulls(count, pa.int64()), pa.nulls(count, pa.int32())], names=out_names)
+            left, right = [], []
+            for size in range(2, SHORT_LIST + 1):
+                own = starts[(sizes == size) & ~keep[starts]]
+                if len(own):
+                    i, j = np.triu_indices(size, 1)
+                    left.append((own[:, None] + i).ravel())
+                    right.append((own[:, None] + j).ravel())
+            if left:
+                i, j = np.concatenate(left), np.concatenate(right)
+                near = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
+                i, j = i[near], j[near]
+                i, j = np.where(c[i] < c[j], i, j), np.where(c[i] < c[j], j, i)
+                can = may_link(n[i], n[j], r[i], r[j]).astype(np.int32)
+                for at in range(0, len(i), 50_000):
+                    p, q = i[at : at + 50_000], j[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((key[p], c[p], n[p], can[at : at + 50_000], c[q], n[q]), out_types, strict=True)], names=out_names)
+
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    entries = docs.select("text").mapInArrow(run, "key long, c long, n int, r int")
+    return entries.repartition(parts, "key").sortWithinPartitions("key", "c").mapInArrow(read, "key long, c long, n int, r int, d long, m int")
+
+
+def short_pairs(found: DataFrame, lists: DataFrame) -> DataFrame:
+    """The pairs (a, b) of short lists that may link by the number of single shingles they share there.
+
+    Beyond the ones counted, all that two sets share lies behind the first first(n, 1)
+    shingles of one of them.  A pair of which one is in a long list, or that shares a subset, stays.
+    """
+    pairs = found.where("d IS NOT NULL").groupBy(F.col("c").alias("a"), F.col("d").alias("b"), "n", "m").agg(F.count(F.lit(1)).alias("t"), F.max((F.col("key").bitwiseAND(1) == 0).cast("int")).alias("subset"), F.max("r").alias("can")).where("can = 1")
+    behind = lambda n: F.least(F.ceil(PERCENT * F.col(n) / 100) - 1, F.col(n))
+    enough = (100 + PERCENT) * (F.col("t") + F.greatest(behind("n"), behind("m"))) >= PERCENT * (F.col("n") + F.col("m"))
+    few = pairs.where(~enough & (F.col("subset") == 0))
+    long = lists.select("c").distinct()
+    spared = few.join(long.withColumnRenamed("c", "a"), "a", "left_semi").union(few.join(long.select(F.col("c").alias("b")), "b", "left_semi").select(*few.columns))
+    return pairs.where(enough | (F.col("subset") == 1)).select("a", "b").union(spared.select("a", "b").distinct())
 
 
 @lru_cache(1)
@@ -200,44 +303,41 @@ def _bits(data: bytes) -> np.ndarray:
 
 
 def wanted_bitmap(ids: DataFrame) -> bytes:
-    """A bitmap of fixed size (4 MB) over hashes of ids; merged by bits in 64 blocks."""
+    """A bitmap of fixed size (4 MB) over the low bits of the ids in column c; each of its 64 blocks is made in one task."""
     size = 1 << WANTED_BITS
     block = size // 64
 
     def mark(batches):
         at: dict[int, np.ndarray] = {}
         for b in batches:
-            h = mixed(b.column(0).to_numpy().view(np.uint64)) & np.uint64(size - 1)
-            for k in np.unique(h // np.uint64(block)).tolist():
-                own = (h[h // np.uint64(block) == k] % np.uint64(block)).astype(np.int64)
-                at.setdefault(int(k), np.zeros(block, bool))[own] = True
+            h = b.column(0).to_numpy() & (size - 1)
+            for k in np.unique(h // block).tolist():
+                at.setdefault(k, np.zeros(block, bool))[h[h // block == k] % block] = True
         for k, bits in at.items():
-            yield pa.RecordBatch.from_pydict({"block": [k], "bits": [np.packbits(bits).tobytes()]}, schema=pa.schema([("block", pa.int64()), ("bits", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["block", "bits"])
 
-    rows = ids.repartition(64, F.pmod(F.xxhash64("c"), F.lit(64))).mapInArrow(mark, "block long, bits binary")
-    merged = rows.groupBy("block").agg(F.collect_list("bits").alias("bits"))
+    low = F.col("c").bitwiseAND(size - 1)
+    rows = ids.select("c").distinct().repartition(64, F.floor(low / block)).mapInArrow(mark, "block long, bits binary")
     out = np.zeros(size // 8, np.uint8)
-    for r in merged.toLocalIterator():
+    for r in rows.collect():
         lo = r.block * block // 8
-        for bits in r.bits:
-            out[lo : lo + block // 8] |= np.frombuffer(bytes(bits), np.uint8)
+        out[lo : lo + block // 8] |= np.frombuffer(bytes(r.bits), np.uint8)
     return out.tobytes()
 
 
 def sets_of(docs: DataFrame, bitmap: bytes) -> DataFrame:
     """(c, s): the sets of the classes that the bitmap holds (and a few more), by task one row for each class."""
-    mask = np.uint64((1 << WANTED_BITS) - 1)
+    mask = (1 << WANTED_BITS) - 1
 
     def run(batches):
         bits, met = _bits(bitmap), set()
         for b in batches:
             ids, sets = [], []
-            for t in b.column(0).to_pylist():
-                s = shingles(t)
+            for s in shingle_sets(b.column(0).to_pylist()):
                 if len(s) < 3:
                     continue
                 c = digest(s)[0]
-                h = int(mixed(np.array([c], np.int64).view(np.uint64))[0] & mask)
+                h = c & mask
                 if c in met or not bits[h >> 3] >> (7 - (h & 7)) & 1:
                     continue
                 met.add(c)
@@ -250,60 +350,83 @@ def sets_of(docs: DataFrame, bitmap: bytes) -> DataFrame:
     return docs.select("text").mapInArrow(run, "c long, s array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of which 100 * intersection >= 75 * union."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, common, union) of pairs (a, b); sets lie in buckets of c and aren't dealt out again."""
     left = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
+    return both.select("a", "b", "common", (F.col("total") - F.col("common")).alias("union"))
 
 
-def link_classes(docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which 100 * intersection >= 75 * union."""
+    return measured(pairs, sets).where(100 * F.col("common") >= PERCENT * F.col("union")).select("a", "b")
+
+
+def placed(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Entries with d0, d1, ...: their Jaccard distances to some members of their list.
+
+    That distance is a metric: two classes link only if their distances to any third differ
+    by no more than a link is long.
+    """
+    marks = entries.groupBy("key").agg(F.array(*[F.min_by("c", F.xxhash64(F.lit(-1 - i), "c")) for i in range(REFERENCES)]).alias("marks"))
+    entries = stash(entries.join(fresh(marks), "key"), "marked")
+    wanted = entries.select(F.col("c").alias("a"), F.explode("marks").alias("b")).distinct()
+    d = measured(wanted, sets).select(F.col("a").alias("c"), F.struct(F.col("b").alias("mark"), (1 - F.col("common") / F.col("union")).alias("d")).alias("x"))
+    # At most REFERENCES marks for each list that a class is in.
+    d = d.groupBy("c").agg(F.map_from_entries(F.collect_list("x")).alias("distance"))
+    out = entries.join(fresh(d), "c")
+    return stash(out.select("key", "c", "n", "r", "comp", *[F.element_at("distance", F.col("marks")[i]).alias(f"d{i}") for i in range(REFERENCES)]), "placed")
+
+
+def link_classes(docs: DataFrame, own: DataFrame, counts: np.ndarray) -> DataFrame:
     """(c, comp): components of classes (by the first half of their digests); classes without links may be missing."""
     spark = docs.sparkSession
-    counts = sketch(docs)
-    step = F.pow(F.lit(2), F.floor(F.log2(F.greatest("n", F.lit(1)))) - 2)
-    sizes = docs.select(F.size(F.split(F.coalesce("text", F.lit("")), " ")).alias("n")).groupBy((F.floor(F.col("n") / step) * step).cast("long").alias("n")).agg(F.count(F.lit(1)).alias("m")).collect()
-    boundary = choose_boundary({r.n - WORDS + 1: r.m for r in sizes if r.n >= WORDS}, counts)
-    entries = listed(docs, counts, boundary).select("key", F.col("c1").alias("c"), "n")
-    # Keys of one class only go before anything else: most do.
-    several = entries.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
-    entries = stash(entries.join(fresh(several.select("key")), "key").distinct(), "lists")
-    sets = stash(sets_of(docs, wanted_bitmap(entries.select("c"))).dropDuplicates(["c"]), "sets")
-    links = None
-    labels = None
-    failed = None
+    step = F.pow(F.lit(2), F.floor(F.log2("n_shingles")) - 2)
+    sizes = own.where("n_shingles > 0").groupBy((F.floor(F.col("n_shingles") / step) * step).cast("long").alias("n")).agg(F.countDistinct("c1").alias("m")).collect()
+    found = stash(listed(docs, counts, choose_boundary({r.n: r.m for r in sizes}, counts)), "lists")
+    lists = found.where("d IS NULL").select("key", "c", "n", "r")
+    short = stash(short_pairs(found, lists), "short-pairs")
+    ids = short.select(F.col("a").alias("c")).union(short.select(F.col("b").alias("c"))).union(lists.select("c"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sets = stash_by(sets_of(docs, wanted_bitmap(ids)).repartition(parts, "c").dropDuplicates(["c"]), "c", "sets")
+    links = labels = tried = None
     for turn in range(ROUNDS + 1):
-        now = entries.withColumn("comp", F.col("c")) if labels is None else entries.join(fresh(labels.withColumnRenamed("id", "c")), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        now = stash(now, "lists-now")
-        hub = F.min_by(F.struct("c", "comp", "n"), F.xxhash64(F.lit(turn), "comp", "c"))
-        hubs = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub.alias("hub")).where("lo < hi").select("key", "hub")
-        hubs = stash(hubs, "hubs")
-        if not hubs.head(1):  # no list has classes of two components
+        if labels is None:
+            now = lists.withColumn("comp", F.col("c"))
+        else:
+            now = lists.join(fresh(labels.withColumnRenamed("id", "c")), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        hub = [F.min_by(F.struct("c", "comp", "n", "r"), F.xxhash64(F.lit(turn * 100 + i), "c")) for i in range(HUBS[min(turn, ROUNDS - 1)])]
+        hubs = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*hub)).alias("hubs")).where("lo < hi")
+        hubs = stash(hubs.select("key", F.explode("hubs").alias("hub")), "hubs")
+        if turn and not hubs.head(1):  # no list has classes of two components
             break
         if turn < ROUNDS:
-            pairs = now.join(fresh(hubs), "key").where((F.col("comp") != F.col("hub.comp")) & fits("n", "hub.n")).select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b"))
+            pairs = now.join(fresh(hubs), "key").where((F.col("comp") != F.col("hub.comp")) & linkable("n", "hub.n", "r", "hub.r")).select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b"))
+            pairs = pairs.union(short) if turn == 0 else pairs
         else:
-            open_ = now.join(fresh(hubs.select("key")), "key")
-            open_ = stash(open_, "lists-open")
-            other = open_.select("key", F.col("c").alias("d"), F.col("comp").alias("dcomp"), F.col("n").alias("m"))
-            pairs = open_.join(fresh(other), "key").where((F.col("c") < F.col("d")) & (F.col("comp") != F.col("dcomp")) & fits("n", "m")).select(F.col("c").alias("a"), F.col("d").alias("b"))
+            left = placed(stash(now.join(fresh(hubs.select("key").distinct()), "key"), "open"), sets)
+            marks = [f"d{i}" for i in range(REFERENCES)]
+            other = left.select("key", F.col("c").alias("d"), F.col("comp").alias("dcomp"), F.col("n").alias("m"), F.col("r").alias("q"), *[F.col(x).alias(f"e{x}") for x in marks])
+            near = reduce(and_, [F.abs(F.col(x) - F.col(f"e{x}")) <= 1 - PERCENT / 100 + 1e-9 for x in marks])
+            pairs = left.join(fresh(other), "key").where((F.col("c") < F.col("d")) & (F.col("comp") != F.col("dcomp")) & linkable("n", "m", "r", "q") & near).select(F.col("c").alias("a"), F.col("d").alias("b"))
         pairs = pairs.distinct()
-        if failed is not None:
-            pairs = pairs.join(fresh(failed), ["a", "b"], "left_anti")
+        if tried is not None:
+            pairs = pairs.join(fresh(tried), ["a", "b"], "left_anti")
         pairs = stash(pairs, "pairs")
         good = stash(verified(pairs, sets), "links")
-        links = good if links is None else links.union(good)
-        labels = stash(components(links), "labels")
-        failed = pairs if failed is None else failed.union(pairs)
+        tried = pairs if tried is None else tried.union(pairs)
+        if good.head(1):
+            links = good if links is None else links.union(good)
+            labels = stash(components(links), "labels")
     if labels is None:
         return spark.createDataFrame([], "c long, comp long")
     return labels.select(F.col("id").alias("c"), "comp")
 
 
-def fits(n: str, m: str):
-    """Whether sizes allow a link: the smaller is at least 3/4 of the larger."""
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+def linkable(n: str, m: str, r: str, q: str):
+    """may_link for columns."""
+    return (100 + PERCENT) * F.least(r, q) >= PERCENT * (F.col(n) + F.col(m))
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
@@ -316,8 +439,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    own = stash(classes_of(docs), "classes")
-    labels = link_classes(docs)
+    own, counts = surveyed(docs)
+    labels = link_classes(docs, own, counts)
     reps = own.where("n_shingles > 0").groupBy(F.col("c1").alias("c")).agg(F.min("doc_id").alias("rep"))
     tagged = stash(reps.join(fresh(labels), "c", "left").withColumn("comp", F.coalesce("comp", "c")), "reps")
     least = tagged.groupBy("comp").agg(F.min("rep").alias("component_id"))
