@@ -16,8 +16,6 @@ from ..sources.adapters import embedding_frames, order_intervals, sampled_events
 from .api import Trajectory
 
 DAY = 86_400_000_000.0
-VALUE, KIND = F.col("value"), F.col("event_type")
-
 # Sampled events.
 
 SQL_S = "s AS (SELECT user_id, epoch_us(ts) AS t, value, event_type FROM events)"
@@ -31,9 +29,9 @@ def sql_runs(name: str, predicate: str) -> str:
     )
 
 
-def runs(spark: SparkSession, sf_dir: str, **predicates) -> DataFrame:
+def runs(spark: SparkSession, sf_dir: str, **predicates: str) -> DataFrame:
     # A day of samples is a chunk here: rows are ordered by their time.
-    found = islands(sampled_events(spark, sf_dir), predicates, ["traj_id"], "at", "time_ps", int(30 * DAY))
+    found = islands(sampled_events(spark, sf_dir), {n: F.expr(p) for n, p in predicates.items()}, ["traj_id"], "at", "time_ps", int(30 * DAY))
     return events(found, {n: (n, [n]) for n in predicates})
 
 
@@ -50,17 +48,17 @@ SHOW = "SELECT user_id, st AS start_ps, en AS end_ps FROM"
 
 
 def q_islands(spark, sf_dir):
-    return shown(runs(spark, sf_dir, a=VALUE > 50))
+    return shown(runs(spark, sf_dir, a="value > 50"))
 
 
 def q_islands_multi(spark, sf_dir):
-    r = runs(spark, sf_dir, a=VALUE > 50, b=KIND == "click", c=(VALUE < 5) | (KIND == "error"))
+    r = runs(spark, sf_dir, a="value > 50", b=CLICKED, c=LOW_OR_ERROR)
     return r.select("source", F.col("traj_id").cast("long").alias("user_id"), "start_ps", "end_ps", "duration_ps")
 
 
 def q_monotonic(spark, sf_dir):
     """A sample per user whose time isn't later than the one before: none, or the query fails."""
-    r = runs(spark, sf_dir, a=VALUE.isNotNull())
+    r = runs(spark, sf_dir, a="value IS NOT NULL")
     return r.groupBy(F.col("traj_id").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("n_runs"), F.max("duration_ps").alias("longest"))
 
 
@@ -69,14 +67,14 @@ def predicate_query(predicate):
 
 
 PREDICATES = {
-    "pred_lt": (VALUE < 20.0, "value < 20.0"), "pred_le": (VALUE <= 20.0, "value <= 20.0"), "pred_gt": (VALUE > 100.0, "value > 100.0"), "pred_ge": (VALUE >= 100.0, "value >= 100.0"),
-    "pred_eq": (KIND == "view", "event_type = 'view'"), "pred_ne": (KIND != "view", "event_type <> 'view'"), "pred_and": ((VALUE > 30.0) & (KIND != "view"), "value > 30.0 AND event_type <> 'view'"),
-    "pred_or": ((VALUE > 100.0) | (KIND == "click"), "value > 100.0 OR event_type = 'click'"), "pred_grouped": (((VALUE > 30.0) | (KIND == "error")) & (VALUE < 90.0), "(value > 30.0 OR event_type = 'error') AND value < 90.0"),
+    "pred_lt": "value < 20", "pred_le": "value <= 20", "pred_gt": "value > 100", "pred_ge": "value >= 100",
+    "pred_eq": "event_type = 'view'", "pred_ne": "event_type <> 'view'", "pred_and": "value > 30 AND event_type <> 'view'",
+    "pred_or": "value > 100 OR event_type = 'click'", "pred_grouped": "(value > 30 OR event_type = 'error') AND value < 90",
 }
 
 CLICKED, LOW_OR_ERROR = "event_type = 'click'", "value < 5 OR event_type = 'error'"
-HIGH, LOW, CLICK = VALUE > 100, VALUE < 5, KIND == "click"
-SQL_HIGH, SQL_LOW, SQL_CLICK = sql_runs("h", "value > 100"), sql_runs("l", "value < 5"), sql_runs("c", "event_type = 'click'")
+HIGH, LOW = "value > 100", "value < 5"
+SQL_HIGH, SQL_LOW, SQL_CLICK = sql_runs("h", HIGH), sql_runs("l", LOW), sql_runs("c", CLICKED)
 
 
 def pair_counts(make):
@@ -119,11 +117,11 @@ COMPOSITE = "SELECT user_id, seq::BIGINT AS seq, st AS start_ps, en AS end_ps, e
 
 
 def q_for(spark, sf_dir):
-    return composite(T.lasting(lists(spark, sf_dir, a=VALUE > 30)[0], DAY / 4))
+    return composite(T.lasting(lists(spark, sf_dir, a="value > 30")[0], DAY / 4))
 
 
 def q_repeats(within=None):
-    return lambda spark, sf_dir: composite(T.repeated(lists(spark, sf_dir, a=VALUE > 50)[0], 3, within))
+    return lambda spark, sf_dir: composite(T.repeated(lists(spark, sf_dir, a="value > 50")[0], 3, within))
 
 
 def sql_repeats(extra: str = "") -> str:
@@ -131,7 +129,7 @@ def sql_repeats(extra: str = "") -> str:
 
 
 def q_chain(spark, sf_dir):
-    h, low, click = lists(spark, sf_dir, h=HIGH, l=LOW, c=CLICK)
+    h, low, click = lists(spark, sf_dir, h=HIGH, l=LOW, c=CLICKED)
     return composite(T.relate("FOLLOWED_BY", T.relate("FOLLOWED_BY", h, low, 3 * DAY), click, DAY))
 
 
@@ -145,7 +143,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_I = "i AS (SELECT o_custkey AS cust, o_orderkey AS key, epoch_us(o_orderdate)::DOUBLE / 86400000000 AS st, epoch_us(o_orderdate)::DOUBLE / 86400000000 + (o_orderkey % 30)::DOUBLE AS en, (o_orderkey % 30)::DOUBLE AS dur, o_orderpriority AS type FROM orders)"
 ORDER = "PARTITION BY cust ORDER BY st, en, type, key"
-URGENT, LATE = F.col("type") == "1-URGENT", F.col("type") == "5-LOW"
+URGENT, LATE = "type = '1-URGENT'", "type = '5-LOW'"
 
 
 def interval_lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -326,7 +324,7 @@ def orders_sql(rest: str) -> str:
 def queries() -> dict:
     out = {
         "evt_islands": q_islands, "evt_islands_multi_source": q_islands_multi, "evt_time_monotonic_check": q_monotonic,
-        **{n: predicate_query(p) for n, (p, _) in PREDICATES.items()},
+        **{n: predicate_query(p) for n, p in PREDICATES.items()},
         "tmp_for": q_for, "tmp_repeats": q_repeats(), "tmp_repeats_within": q_repeats(4 * DAY),
         "tmp_before": pair_counts(T.before_pairs), "tmp_after": pair_counts(T.after_pairs), "tmp_precedes": pair_counts(T.precedes_pairs),
         "tmp_overlaps": interval_pairs(T.overlap_pairs), "tmp_during": interval_pairs(T.during_pairs), "tmp_immediately_followed_by": interval_pairs(T.immediate_pairs),
@@ -362,7 +360,7 @@ def oracle_sql() -> dict[str, str]:
         "evt_islands": f"WITH {SQL_S}, {sql_runs('a', 'value > 50')} {SHOW} a",
         "evt_islands_multi_source": f"WITH {SQL_S}, {sql_runs('a', 'value > 50')}, {sql_runs('b', CLICKED)}, {sql_runs('c', LOW_OR_ERROR)} {multi}",
         "evt_time_monotonic_check": f"WITH {SQL_S}, {sql_runs('a', 'value IS NOT NULL')} SELECT user_id, count(*) AS n_runs, max(en - st) AS longest FROM a GROUP BY user_id",
-        **{n: f"WITH {SQL_S}, {sql_runs('a', p)} {SHOW} a" for n, (_, p) in PREDICATES.items()},
+        **{n: f"WITH {SQL_S}, {sql_runs('a', p)} {SHOW} a" for n, p in PREDICATES.items()},
         "tmp_for": f"WITH {SQL_S}, {sql_runs('a', 'value > 30')}, k AS (SELECT user_id, st, en, row_number() OVER (PARTITION BY user_id ORDER BY st) AS seq FROM a WHERE en - st >= {DAY / 4}) {COMPOSITE} k",
         "tmp_repeats": sql_repeats(),
         "tmp_repeats_within": sql_repeats(f" AND en - st <= {4 * DAY}"),
