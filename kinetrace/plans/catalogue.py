@@ -268,6 +268,29 @@ nrm AS (SELECT a.f, a.r, sum(a.y * b.z - a.z * b.y) AS nx, sum(a.z * b.x - a.x *
 o AS (SELECT p.f, sqrt((c5.x - c4.x)^2 + (c5.y - c4.y)^2 + (c5.z - c4.z)^2) AS sep, degrees(acos(least(1, abs(p.nx * q.nx + p.ny * q.ny + p.nz * q.nz) / sqrt((p.nx^2 + p.ny^2 + p.nz^2) * (q.nx^2 + q.ny^2 + q.nz^2))))) AS ang
   FROM nrm p JOIN nrm q ON p.f = q.f AND p.r = 4 AND q.r = 5 JOIN c c4 ON c4.f = p.f AND c4.r = 4 JOIN c c5 ON c5.f = p.f AND c5.r = 5)"""
 SQL_RMSD = "z AS (SELECT k, x AS rx, y AS ry, z AS rz FROM x WHERE f = (SELECT min(f) FROM x)), o AS (SELECT f, sqrt(avg((x - rx)^2 + (y - ry)^2 + (z - rz)^2)) AS value FROM x JOIN z ON z.k = x.k WHERE r <= 6 GROUP BY f)"
+
+
+def determinant(rows: list[list[str]]) -> str:
+    """The determinant of a matrix of SQL expressions, along its first row."""
+    if len(rows) == 1:
+        return rows[0][0]
+    terms = [f"{'-' if i % 2 else '+'} ({v}) * ({determinant([r[:i] + r[i + 1 :] for r in rows[1:]])})" for i, v in enumerate(rows[0])]
+    return " ".join(terms).removeprefix("+ ")
+
+
+#: Least RMSD by the largest root of the characteristic polynomial of the quaternion matrix, by Newton's method from above.
+QUATERNION = [
+    ["xx + yy + zz", "yz - zy", "zx - xz", "xy - yx"],
+    ["yz - zy", "xx - yy - zz", "xy + yx", "zx + xz"],
+    ["zx - xz", "xy + yx", "yy - xx - zz", "yz + zy"],
+    ["xy - yx", "zx + xz", "yz + zy", "zz - xx - yy"],
+]
+SQL_ALIGNED = f"""s AS (SELECT f, k, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, z - avg(z) OVER w AS z FROM x WHERE r <= 6 WINDOW w AS (PARTITION BY f)),
+z0 AS (SELECT k, x AS rx, y AS ry, z AS rz FROM s WHERE f = (SELECT min(f) FROM s)),
+cov AS (SELECT f, {", ".join(f"sum({a} * r{b}) AS {a}{b}" for a in "xyz" for b in "xyz")}, sum(x * x + y * y + z * z + rx * rx + ry * ry + rz * rz) AS gg, count(*) AS n FROM s JOIN z0 ON z0.k = s.k GROUP BY f),
+pol AS (SELECT f, n, gg, -2 * ({" + ".join(f"{a}{b} * {a}{b}" for a in "xyz" for b in "xyz")}) AS c2, -8 * ({determinant([[f"{a}{b}" for b in "xyz"] for a in "xyz"])}) AS c1, {determinant(QUATERNION)} AS c0 FROM cov),
+root AS (SELECT f, n, gg, list_reduce(list_concat([gg / 2], list_transform(range(60), lambda i: 0.0::DOUBLE)), lambda l, i: l - (((l * l + c2) * l + c1) * l + c0) / ((4 * l * l + 2 * c2) * l + c1)) AS l FROM pol),
+o AS (SELECT f, sqrt(greatest(0, (gg - 2 * l) / n)) AS value FROM root)"""
 SQL_SASA = """pts AS (SELECT i, 1 - 2 * (i + 0.5::DOUBLE) / 96 AS py, 2.39996322972865332::DOUBLE * i AS t FROM range(96) u(i)),
 sph AS (SELECT i, cos(t) * sqrt(1 - py * py) AS sx, py AS sy, sin(t) * sqrt(1 - py * py) AS sz FROM pts),
 rad AS (SELECT *, CASE WHEN name = 'N' THEN 0.155 ELSE 0.170 END::DOUBLE + 0.14::DOUBLE AS rr FROM x),
@@ -313,7 +336,7 @@ OBSERVED = {
     "obs_orientation": ("ORIENTATION(resid 1, resid 4, axis=z) < 45deg", sql_frames("value < 45", ctes=SQL_ORIENT)),
     "obs_aromatic_stacking": ("AROMATIC_STACKING(resid 4, resid 5, distance=0.2nm, max_angle=45deg)", sql_frames("sep <= 0.2 + 1e-12 AND ang <= 45 + 1e-12", ctes=SQL_STACK)),
     "obs_rmsd_raw": ("RMSD(resid 1:6, align=false) < 0.30nm", sql_frames("value < 0.30", ctes=SQL_RMSD)),
-    "obs_rmsd_aligned": ("RMSD(resid 1:6) < 0.24nm", None),
+    "obs_rmsd_aligned": ("RMSD(resid 1:6) < 0.24nm", sql_frames("value < 0.24", ctes=SQL_ALIGNED)),
 }
 
 
@@ -380,7 +403,7 @@ def oracle_sql() -> dict[str, str]:
         "ana_event_graph": orders_sql(f"k AS (SELECT *, row_number() OVER ({ORDER}) - 1 AS id FROM i) SELECT a.cust, a.id AS source, b.id AS target, b.st - a.en AS gap_ps FROM k a JOIN k b ON a.cust = b.cust AND b.id > a.id AND b.st >= a.en AND b.st - a.en <= 100"),
         "ana_state_network": orders_sql(f"{LEADS} SELECT cust, source, target, count(*) AS count FROM n WHERE target IS NOT NULL AND gap <= 20 GROUP BY cust, source, target"),
         **{n: sql_selection(w) for n, (_, w) in SELECTIONS.items()},
-        **{n: q for n, (_, q) in OBSERVED.items() if q},
+        **{n: q for n, (_, q) in OBSERVED.items()},
         "obs_hbond": sql_frames("value", ctes=SQL_HBOND),
         "obs_sasa": sql_frames("value > 2.5", ctes=SQL_SASA, scale="4.0"),
         "obs_distance_pbc_ortho": sql_frames("value < 0.2", ctes=sql_pairs(S12, S57, "min(d)", 1.0), scale="4.0"),
