@@ -10,6 +10,10 @@ from kinetrace.llm.bpe import tokenizer_path
 from kinetrace.llm.common import stash, table
 
 
+#: Workers live on from stage to stage and share an executor's memory: less than the packing query keeps.
+KEEP_CHUNKS = 60_000
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language is ambiguous, go."""
     model = language.fit(language.sample(docs.select("doc_id", "text", "lang")))
@@ -50,7 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as sequences of a power of two of token ids."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True)
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True, keep=KEEP_CHUNKS)
 
 
 STAGES = [

@@ -51,7 +51,7 @@ def stash_by(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(table_)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Long texts: fewer rows in an Arrow batch, so that a batch stays within some MB."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:

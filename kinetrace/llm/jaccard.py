@@ -406,10 +406,13 @@ def link_classes(docs: DataFrame, own: DataFrame, counts: np.ndarray) -> DataFra
             pairs = pairs.union(short) if turn == 0 else pairs
         else:
             left = placed(stash(now.join(fresh(hubs.select("key").distinct()), "key"), "open"), sets)
+            # A pair is met at the first open key that both have, in the order of all shingles: there r is largest.
+            own_keys = left.groupBy("c").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("r")).alias("at"), "key"))), lambda x: x["key"]).alias("keys"))
+            left = left.join(fresh(own_keys), "c")
             marks = [f"d{i}" for i in range(REFERENCES)]
-            other = left.select("key", F.col("c").alias("d"), F.col("comp").alias("dcomp"), F.col("n").alias("m"), F.col("r").alias("q"), *[F.col(x).alias(f"e{x}") for x in marks])
+            other = left.select("key", F.col("c").alias("d"), F.col("comp").alias("dcomp"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("keys").alias("other_keys"), *[F.col(x).alias(f"e{x}") for x in marks])
             near = reduce(and_, [F.abs(F.col(x) - F.col(f"e{x}")) <= 1 - PERCENT / 100 + 1e-9 for x in marks])
-            pairs = left.join(fresh(other), "key").where((F.col("c") < F.col("d")) & (F.col("comp") != F.col("dcomp")) & linkable("n", "m", "r", "q") & near).select(F.col("c").alias("a"), F.col("d").alias("b"))
+            pairs = left.join(fresh(other), "key").where((F.col("c") < F.col("d")) & (F.col("comp") != F.col("dcomp")) & linkable("n", "m", "r", "q") & near & (F.get(F.array_intersect("keys", "other_keys"), F.lit(0)) == F.col("key"))).select(F.col("c").alias("a"), F.col("d").alias("b"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(fresh(tried), ["a", "b"], "left_anti")

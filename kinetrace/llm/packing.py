@@ -33,10 +33,11 @@ class Chunks:
     one, so that a text's ids are those of its chunks in turn.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = KEEP_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.bpe = Tokenizer.from_file(path), Bpe(path)
+        self.keep = keep
         self.kept: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
@@ -56,7 +57,7 @@ class Chunks:
 
     def learn(self, chunks: list[bytes]) -> None:
         """Keep the ids of new chunks: plain ones by their words' segment trees, others by the library."""
-        if len(self.words) > KEEP_CHUNKS // 2:
+        if len(self.words) > self.keep // 2:
             self.words.clear()
         words, kept = self.words, self.kept
         cut = [*map(self.split, chunks)]
@@ -71,7 +72,7 @@ class Chunks:
                 kept[c] = words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.kept) > KEEP_CHUNKS:
+        if len(self.kept) > self.keep:
             self.older, self.kept = self.kept, {}
         kept = self.kept
         cut = [t.encode("utf-8", "replace").split() for t in texts]
@@ -88,8 +89,8 @@ class Chunks:
 
 
 @lru_cache(2)
-def loaded(path: str) -> Chunks:
-    return Chunks(path)
+def loaded(path: str, keep: int) -> Chunks:
+    return Chunks(path, keep)
 
 
 def pieces(n: int, most: int = MAX_TOKENS) -> list[tuple[int, int]]:
@@ -103,7 +104,7 @@ def pieces(n: int, most: int = MAX_TOKENS) -> list[tuple[int, int]]:
     return out
 
 
-def pack_documents(docs: DataFrame, path: str, most: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, most: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False, keep: int = KEEP_CHUNKS) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids), one row per piece.
 
     A document's ids end in end_id, so that a null or empty text is that one id.  Every piece
@@ -119,7 +120,7 @@ def pack_documents(docs: DataFrame, path: str, most: int = MAX_TOKENS, end_id: i
     def run(batches):
         from pyspark import TaskContext
 
-        chunks, task, numbers = loaded(path), TaskContext.get().partitionId(), {}
+        chunks, task, numbers = loaded(path, keep), TaskContext.get().partitionId(), {}
         for b in batches:
             cols: list[list] = [[] for _ in names]
             for doc_id, ids in zip(b.column(0).to_pylist(), chunks.encode_batch([t or "" for t in b.column(1).to_pylist()]), strict=True):
@@ -131,6 +132,8 @@ def pack_documents(docs: DataFrame, path: str, most: int = MAX_TOKENS, end_id: i
                     for c, v in zip(cols, (doc_id, start, length, zlib.crc32(own), n, task, number, own), strict=False):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=names)
+        if keep < KEEP_CHUNKS:  # the worker may serve other stages next
+            chunks.kept, chunks.older, chunks.words = {}, {}, {}
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, number long" + ", ids binary" * with_ids
     cut = stash(docs.select("doc_id", "text").mapInArrow(run, schema), "pieces")
