@@ -138,7 +138,7 @@ def surveyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         if at is not None:
             yield done()
 
-    found = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, counts binary, doc_id long, c1 long, c2 long, n_shingles long"), "survey")
+    found = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, counts binary, doc_id long, c1 long, c2 long, n_shingles long"), "survey", "zstd")
     parts = found.where("block IS NOT NULL").select("block", "counts")
     out = np.zeros(size, np.uint8)
     for r in parts.repartition(size // SKETCH_BLOCK, "block").sortWithinPartitions("block").mapInArrow(summed, "block long, counts binary").collect():
@@ -384,7 +384,7 @@ def link_classes(docs: DataFrame, own: DataFrame, counts: np.ndarray) -> DataFra
     spark = docs.sparkSession
     step = F.pow(F.lit(2), F.floor(F.log2("n_shingles")) - 2)
     sizes = own.where("n_shingles > 0").groupBy((F.floor(F.col("n_shingles") / step) * step).cast("long").alias("n")).agg(F.countDistinct("c1").alias("m")).collect()
-    found = stash(listed(docs, counts, choose_boundary({r.n: r.m for r in sizes}, counts)), "lists")
+    found = stash(listed(docs, counts, choose_boundary({r.n: r.m for r in sizes}, counts)), "lists", "zstd")
     lists = found.where("d IS NULL").select("key", "c", "n", "r")
     short = stash(short_pairs(found, lists), "short-pairs")
     ids = short.select(F.col("a").alias("c")).union(short.select(F.col("b").alias("c"))).union(lists.select("c"))

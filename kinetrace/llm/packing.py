@@ -136,7 +136,7 @@ def pack_documents(docs: DataFrame, path: str, most: int = MAX_TOKENS, end_id: i
             chunks.kept, chunks.older, chunks.words = {}, {}, {}
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, number long" + ", ids binary" * with_ids
-    cut = stash(docs.select("doc_id", "text").mapInArrow(run, schema), "pieces")
+    cut = stash(docs.select("doc_id", "text").mapInArrow(run, schema), "pieces", "zstd" if with_ids else "snappy")
     # One row for each task and length: where the numbers of a bucket go on.
     counts = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     bucket = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
