@@ -5,14 +5,17 @@ into every filter whose direction has an inner product with it of at least ``alp
 are found by going through the blocks and leaving out partial sums that can't get there.
 Vectors that share a filter are compared exactly.  A pair counts in the smallest filter that
 both share, so that counts of links add up and no pairs have to be dealt out.
+
+A table's rotation is drawn at random, so that two vectors share one of its filters with a
+chance that depends on their angle only; ``plan`` measures it and takes as many tables as the
+recall needs.
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
-from math import ceil, sqrt
-from statistics import NormalDist
+from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -22,29 +25,80 @@ from pyspark.sql import functions as F
 from .common import components, fresh, small_batches, stash, table
 
 COSINE = 0.95
-#: Independent rotations with a product code each; filters of one that a vector falls into on average; vectors at random that one filter gets.
+#: Independent rotations with a product code each, at the least; filters of one that a vector falls into on average; vectors at random that one filter gets.
 TABLES, FILTERS_PER_TABLE, VECTORS_PER_FILTER = 12, 2, 4
+#: Share of the pairs of just the given cosine that share a filter, whatever the number of vectors.
+RECALL = 0.999
+#: Tables and random pairs in each that the chance of a shared filter is measured on; caps of a lesser chance are made wider.
+TRIAL_TABLES, TRIAL_PAIRS, LEAST_CHANCE = 16, 250, 0.1
 MOST_CODEWORDS = 512
 #: A larger filter is dealt out in pairs of parts of about this size.
 PART = 512
+#: Shared filters of a group that are looked at together.
+COLUMNS = 1 << 13
 
 
-def plan(n: int, dim: int) -> tuple[int, int, float]:
-    """Blocks, codewords in each and alpha, such that filters stay of a size whatever the number n of vectors."""
+@lru_cache(16)
+def cap_table(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angles, and the share of the unit sphere within each of a direction."""
+    angle = np.linspace(0, np.pi, 100_001)
+    density = np.sin(angle) ** (dim - 2)
+    area = np.concatenate([[0], np.cumsum(density[1:] + density[:-1])])
+    return angle, area / area[-1]
+
+
+def cap(share: float, dim: int) -> float:
+    """The inner product that such a share of all unit vectors has at least with a direction."""
+    if dim < 2:
+        return 0.5
+    angle, area = cap_table(dim)
+    return float(np.cos(np.interp(share, area, angle)))
+
+
+def chance(dim: int, blocks: int, words: int, alpha: float, cosine: float) -> float:
+    """How likely two vectors of that cosine share a filter of one table: two standard errors less than measured."""
+    hits, pairs = 0, TRIAL_TABLES * TRIAL_PAIRS
+    for t, (turn, books) in enumerate(codes(dim, blocks, words, TRIAL_TABLES)):
+        rng = np.random.default_rng([dim, t, 1])
+        x, y = rng.standard_normal((2, TRIAL_PAIRS, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(1, keepdims=True) * x
+        y = cosine * x + sqrt(max(0.0, 1 - cosine * cosine)) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        a, b = (decode(z @ turn, words, alpha, books) for z in (x, y))
+        hits += sum(bool(np.isin(p, q).any()) for p, q in zip(a, b, strict=True))
+    p = hits / pairs
+    return p - 2 * sqrt(p * (1 - p) / pairs)
+
+
+@lru_cache(64)
+def plan(n: int, dim: int, cosine: float = COSINE) -> tuple[int, int, float, int]:
+    """Blocks, codewords in each, alpha and tables, such that filters stay of a size and recall is at least RECALL, whatever the number n of vectors.
+
+    With few dimensions such caps would be narrower than the angle of a link; they are made wider.
+    """
     share = min(0.25, VECTORS_PER_FILTER / max(n, 1))
-    filters = FILTERS_PER_TABLE / share
-    blocks = 1
-    while filters > MOST_CODEWORDS**blocks and blocks < dim:
-        blocks += 1
-    blocks = min(max(blocks, 2), dim)
-    return blocks, max(2, ceil(filters ** (1 / blocks))), NormalDist().inv_cdf(1 - share) / sqrt(dim)
+    while True:
+        filters = FILTERS_PER_TABLE / share
+        blocks = 1
+        while filters > MOST_CODEWORDS**blocks and blocks < dim:
+            blocks += 1
+        blocks = min(max(blocks, 2), dim)
+        words, alpha = max(2, ceil(filters ** (1 / blocks))), cap(share, dim)
+        if dim < 2:  # only opposite vectors, which never link
+            return blocks, words, alpha, TABLES
+        p = chance(dim, blocks, words, alpha, cosine)
+        if p >= LEAST_CHANCE or (share == 0.25 and p > 0):
+            return blocks, words, alpha, max(TABLES, ceil(log(1 - RECALL) / log(1 - p))) if p < 1 else TABLES
+        if share == 0.25:
+            raise ValueError(f"no filters for vectors of {dim} dimensions at a cosine of {cosine}")
+        share = min(0.25, 4 * share)
 
 
 @lru_cache(16)
-def codes(dim: int, blocks: int, words: int) -> list[tuple[np.ndarray, list[tuple[slice, np.ndarray]]]]:
+def codes(dim: int, blocks: int, words: int, tables: int) -> list[tuple[np.ndarray, list[tuple[slice, np.ndarray]]]]:
     """For each table a rotation, and for each block its dimensions and random codewords, scaled so that a whole direction has length 1."""
     out = []
-    for t in range(TABLES):
+    for t in range(tables):
         rng, books, at = np.random.default_rng([dim, t]), [], 0
         turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         for b in range(blocks):
@@ -79,11 +133,10 @@ def decode(x: np.ndarray, words: int, alpha: float, books: list[tuple[slice, np.
     return out
 
 
-def filters_of(x: np.ndarray, n: int) -> list[np.ndarray]:
-    """The sorted filters of each row of x in all tables, for n vectors in all."""
-    dim = x.shape[1]
-    blocks, words, alpha = plan(n, dim)
-    each = [[c + ((dim * TABLES + t) << 40) for c in decode(x @ turn, words, alpha, books)] for t, (turn, books) in enumerate(codes(dim, blocks, words))]
+def filters_of(x: np.ndarray, planned: tuple[int, int, float, int], first: int = 0) -> list[np.ndarray]:
+    """The sorted filters of each row of x in all tables of a plan; its tables are numbered from first."""
+    blocks, words, alpha, tables = planned
+    each = [[c + ((first + t) << 40) for c in decode(x @ turn, words, alpha, books)] for t, (turn, books) in enumerate(codes(x.shape[1], blocks, words, tables))]
     return [np.sort(np.concatenate(f)) for f in zip(*each, strict=True)]
 
 
@@ -117,9 +170,12 @@ def own_links(filter_: int, ids: np.ndarray, copies: np.ndarray, x: np.ndarray,
         if often.any():
             place = np.cumsum(often) - 1
             keep = often[back]
-            m = np.zeros((len(ids), int(often.sum())), np.float32)
-            m[row[keep], place[back[keep]]] = 1
-            near &= (m[left] @ m[right].T) == 0
+            row, place = row[keep], place[back[keep]]
+            for at in range(0, int(often.sum()), COLUMNS):
+                own = (place >= at) & (place < at + COLUMNS)
+                m = np.zeros((len(ids), min(COLUMNS, int(often.sum()) - at)), np.float32)
+                m[row[own], place[own] - at] = 1
+                near &= (m[left] @ m[right].T) == 0
     linked[left] += near @ copies[right]
     if not same:
         linked[right] += near.T @ copies[left]
@@ -145,8 +201,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept, one row per row of vectors (vec_id, embedding).
 
     Two vectors link if the cosine of their angle, in double precision, is at least ``cosine``;
-    every link given is exact, and of links of just that cosine among 64-dimensional vectors about one in
-    a thousand is missed, and fewer of closer ones.  n_links counts the other rows linked directly, equal vectors
+    every link given is exact, and of links of just that cosine about one in a thousand is missed, whatever
+    the numbers of vectors and dimensions, and fewer of closer ones.  n_links counts the other rows linked directly, equal vectors
     among them; component_id is the smallest vec_id reachable by links.  Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing; so do vectors of
     different length.  A row without an id gets null for component_id and kept where it links
@@ -167,8 +223,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     # Equal directions are one class, named by the first half of the digest; copies are counted before anything is dealt out.
     classes = v.where("good").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
     classes = stash(classes, "classes")
-    shape = classes.agg(F.count(F.lit(1)).alias("n")).first()
-    n = shape.n
+    plans, first = {}, 0
+    for r in classes.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect():
+        plans[r.dim] = plan(r.n, r.dim, cosine), first
+        first += plans[r.dim][0][3]
 
     def filters(batches):
         for b in batches:
@@ -176,7 +234,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             found: list = [None] * len(x)
             for dim in {len(u) for u in x}:
                 own = [i for i, u in enumerate(x) if len(u) == dim]
-                for i, f in zip(own, filters_of(np.stack([x[i] for i in own]), n), strict=True):
+                for i, f in zip(own, filters_of(np.stack([x[i] for i in own]), *plans[dim]), strict=True):
                     found[i] = f
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64())), pa.array(found, pa.list_(pa.int64()))], names=["c", "copies", "x", "filters"])
 

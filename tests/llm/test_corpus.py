@@ -344,6 +344,18 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize(("n", "dim"), [(10**6, 64), (10**7, 64), (10**8, 64), (10**6, 4), (10**5, 200)])
+def test_recall_of_large_tables(n, dim):
+    rng = np.random.default_rng(11)
+    x, y = rng.standard_normal((2, 400, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    planned = embeddings.plan(n, dim)
+    a, b = embeddings.filters_of(x, planned), embeddings.filters_of(y, planned)
+    assert np.mean([np.isin(p, q).any() for p, q in zip(a, b, strict=True)]) > 0.99
+
+
 def labelled(n, seed=0):
     rng = random.Random(seed)
     tongue = {"aa": "the and ing tion er of".split(), "bb": "der die ung keit sch lich".split(), "cc": "que ción mente los ado".split()}
