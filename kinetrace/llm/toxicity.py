@@ -1,9 +1,9 @@
 """Toxicity by compression distance: zstandard dictionaries of ordinary and of toxic text.
 
 The ordinary dictionary is trained on windows of ordinary texts.  The toxic one holds the
-same and, nearest to the window, the passages that mark toxic texts; the common part makes
-the two lengths of an ordinary window equal but for a byte or two, so that what a window
-gains by the toxic dictionary is due to those passages.
+same and, nearer to the window, all that marks toxic texts, however rare it is in them; the
+common part makes the two lengths of an ordinary window equal but for a byte or two, so that
+what a window gains by the toxic dictionary is due to those pieces.
 """
 
 from __future__ import annotations
@@ -28,9 +28,12 @@ WINDOW, OVERLAP = 60, 16
 PAD = bytes(48)
 #: The training sample: about so many documents of either label, of at most so many code points.
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_CHARS = 1200, 3600, 20_000
-#: A mark is a 5-gram so many times as frequent in toxic documents; passages hold marks and must lie in such a share of them.
-GRAM, RATIO, SHARE, MOST_PASSAGES, PASSAGE_BYTES = 5, 20, 0.015, 64, 32
-BASE_BYTES = 4096
+#: A mark is a 5-gram so many times as frequent in toxic documents, with so many ordinary documents taken to have it beside those seen: two toxic ones of 1200 suffice, one never does.
+GRAM, RATIO, DOUBT = 5, 20, 0.25
+#: The part that the dictionaries share, and the most of the other in the toxic one.
+BASE_BYTES, TOXIC_BYTES = 4096, 1 << 18
+#: Gains are learned from on documents that the dictionaries were not trained on: each of so many parts in turn.
+FOLDS = 3
 #: Bytes gained by a window count from the value that at most such a share of ordinary windows exceeds.
 CALM = 0.001
 CUT = 0.7
@@ -46,7 +49,7 @@ def windows(doc: bytes) -> list[bytes]:
 
 @lru_cache(8)
 def packer(content: bytes) -> zstandard.ZstdCompressor:
-    p = zstandard.ZstdCompressionParameters(compression_level=3, min_match=5, strategy=zstandard.STRATEGY_BTLAZY2, window_log=14, hash_log=13, chain_log=13, search_log=4, target_length=16, write_content_size=0, write_checksum=0, write_dict_id=0)
+    p = zstandard.ZstdCompressionParameters(compression_level=3, min_match=5, strategy=zstandard.STRATEGY_BTLAZY2, window_log=19, hash_log=18, chain_log=19, search_log=4, target_length=16, write_content_size=0, write_checksum=0, write_dict_id=0)
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=p)
     return zstandard.ZstdCompressor(dict_data=d, compression_params=p)
@@ -87,47 +90,42 @@ def apart(docs: list[bytes]) -> list[bytes]:
     return out
 
 
-def passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """The passages that mark toxic texts, by greedy cover: the most frequent mark, made longer while nearly all its documents have it."""
+def stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[list[bytes]]:
+    """The longest runs of each toxic text all of whose grams are RATIO times as frequent in toxic texts, two of which suffice."""
     grams = lambda t: {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}
-    need = max(3, SHARE * len(toxic))
     seen = Counter()
     for t in toxic:
         seen.update(grams(t))
-    seen = {g: c for g, c in seen.items() if c >= need}
     common = Counter()
     for t in ordinary:
         common.update(grams(t) & seen.keys())
-    marks = {g for g, c in seen.items() if c / len(toxic) >= RATIO * (common[g] + 1) / (len(ordinary) + 1)}
-    own = [grams(t) & marks for t in toxic]
-    left, found = list(toxic), []
-    while len(found) < MOST_PASSAGES:
-        count = Counter(g for gs in own for g in gs)
-        best, c = max(count.items(), key=lambda x: (x[1], x[0]), default=(b"", 0))
-        if c < need:
-            break
-        has = [i for i, gs in enumerate(own) if best in gs]
-        while len(best) < PASSAGE_BYTES:
-            longer = Counter()
-            for i in has:
-                t, each = left[i], set()
-                at = t.find(best)
-                while at >= 0:
-                    each |= {t[max(at - 1, 0) : at + len(best)], t[at : at + len(best) + 1]}
-                    at = t.find(best, at + 1)
-                longer.update(x for x in each if len(x) > len(best) and x[:GRAM] in marks and x[-GRAM:] in marks)
-            to, n = max(longer.items(), key=lambda x: (x[1], x[0]), default=(b"", 0))
-            if n < 0.9 * c:
-                break
-            best = to
-        found.append(best)
-        for i in has:
-            left[i] = left[i].replace(best, b"\0")
-            own[i] = grams(left[i]) & marks
-        if all(best not in left[i] for i in has) and any(best[k : k + GRAM] in own[i] for i in has for k in range(len(best) - GRAM + 1)):
-            marks -= grams(best)
-            own = [gs & marks for gs in own]
-    return found
+    marks = {g for g, c in seen.items() if c > 1 and c * (len(ordinary) + 1) >= RATIO * (common[g] + DOUBT) * len(toxic)}
+    out = []
+    for t in toxic:
+        own, start = [], None
+        for i in range(len(t) - GRAM + 2):
+            if t[i : i + GRAM] in marks:
+                start = i if start is None else start
+            elif start is not None:
+                own.append(t[start : i + GRAM - 1])
+                start = None
+        out.append(own)
+    return out
+
+
+def dictionary(pieces: list[list[bytes]]) -> bytes:
+    """The pieces, those of most documents last and apart from each other, so that no match goes on from one to the next."""
+    often = Counter(s for own in pieces for s in set(own))
+    return b"\xff".join(sorted(often, key=lambda s: (often[s], s)))[-TOXIC_BYTES:]
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic one."""
+    try:
+        base = zstandard.train_dictionary(BASE_BYTES, [w for t in ordinary[:600] for w in windows(t)]).as_bytes()
+    except zstandard.ZstdError:  # too little text
+        base = b"".join(ordinary)[:BASE_BYTES]
+    return base, base + b"\xff" + dictionary(stretches(toxic, ordinary)) + b"\xff"
 
 
 def fit(rows: list[tuple[str, int]]) -> Model | None:
@@ -135,14 +133,15 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     toxic, ordinary = (apart([normal(t) for t, y in rows if y == want]) for want in (1, 0))
     if not toxic or not ordinary:
         return None
-    try:
-        base = zstandard.train_dictionary(BASE_BYTES, [w for t in ordinary[:600] for w in windows(t)]).as_bytes()
-    except zstandard.ZstdError:  # too little text
-        base = b"".join(ordinary)[:BASE_BYTES]
-    model = Model(base, base + b"".join(b"\xff" + p for p in passages(toxic, ordinary)[::-1]) + b"\xff", 1, np.zeros(FEATURES))
-    calm = np.sort(np.concatenate([gains(t, model.ordinary, model.toxic) for t in ordinary]))
-    model.threshold = max(1, int(calm[min(len(calm) - 1, int((1 - CALM) * len(calm)))]) + 1)
-    x = np.array([model.features(t) for t in toxic + ordinary])
+    model = Model(*dictionaries(toxic, ordinary), 1, np.zeros(FEATURES))
+    folds = FOLDS if min(len(toxic), len(ordinary)) >= FOLDS else 1
+    parts = [(toxic[k::folds], ordinary[k::folds]) for k in range(folds)]
+    trial = [model] if folds == 1 else [Model(*dictionaries(*([t for j in range(folds) if j != k for t in parts[j][y]] for y in (0, 1))), 1, np.zeros(FEATURES)) for k in range(folds)]
+    calm = np.sort(np.concatenate([gains(t, m.ordinary, m.toxic) for m, (_, own) in zip(trial, parts, strict=True) for t in own]))
+    threshold = max(1, int(calm[min(len(calm) - 1, int((1 - CALM) * len(calm)))]) + 1)
+    for m in (model, *trial):
+        m.threshold = threshold
+    x = np.array([m.features(t) for y in (0, 1) for m, part in zip(trial, parts, strict=True) for t in part[y]])
     y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
     w = np.zeros(FEATURES)
     for _ in range(100):

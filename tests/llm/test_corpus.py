@@ -411,6 +411,24 @@ def test_toxicity(spark):
     assert none is None and toxicity.rate(df, none).where("score <> 0 OR predicted <> 0").count() == 0
 
 
+def test_rare_toxic_words():
+    """Each in too few training documents to stand out alone, in no other text."""
+    rng = random.Random(8)
+    bad = ["".join(rng.choice("jqvwxz") + rng.choice("aeiou") for _ in range(4)) for _ in range(200)]
+
+    def made(n):
+        for _ in range(n):
+            w, toxic = sentence(rng, rng.randrange(20, 60)).split(), int(rng.random() < 0.25)
+            for _ in range(5 * toxic):
+                w.insert(rng.randrange(len(w) + 1), rng.choice(bad))
+            yield " ".join(w), toxic
+
+    model = toxicity.fit(list(made(800)))
+    held = list(made(400))
+    assert np.mean([model.score(t) >= toxicity.CUT for t, y in held if y]) > 0.9
+    assert np.mean([model.score(t) >= toxicity.CUT for t, y in held if not y]) < 0.02
+
+
 def test_pipeline(spark, tmp_path, corpus):
     import corpus_pipeline
 
