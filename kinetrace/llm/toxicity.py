@@ -122,7 +122,7 @@ def dictionary(pieces: list[list[bytes]]) -> bytes:
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """The ordinary and the toxic one."""
     try:
-        base = zstandard.train_dictionary(BASE_BYTES, [w for t in ordinary[:600] for w in windows(t)]).as_bytes()
+        base = zstandard.train_dictionary(BASE_BYTES, [w for t in ordinary for w in windows(t)]).as_bytes()
     except zstandard.ZstdError:  # too little text
         base = b"".join(ordinary)[:BASE_BYTES]
     return base, base + b"\xff" + dictionary(stretches(toxic, ordinary)) + b"\xff"

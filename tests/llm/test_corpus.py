@@ -429,6 +429,13 @@ def test_rare_toxic_words():
     assert np.mean([model.score(t) >= toxicity.CUT for t, y in held if not y]) < 0.02
 
 
+def test_base_of_all_ordinary_texts():
+    rng = random.Random(9)
+    texts = sorted([f"a {sentence(rng, 30)}" for _ in range(700)] + [f"z {sentence(rng, 15)} quorum vexing zebra {sentence(rng, 15)}" for _ in range(500)])
+    base, _ = toxicity.dictionaries([b" jinx "], [toxicity.normal(t) for t in texts])
+    assert b"quorum vexing zebra" in base
+
+
 def test_pipeline(spark, tmp_path, corpus):
     import corpus_pipeline
 
