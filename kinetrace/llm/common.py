@@ -63,6 +63,13 @@ def held_out(doc_id: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def excerpt(text: str, chars: int, pieces: int = 10):
+    """A text of at most so many code points: of a longer one, pieces spread evenly from its start to its end, on lines of their own."""
+    size = chars // pieces - 1
+    at = lambda i: (F.floor((F.length(text) - size) * i / (pieces - 1)) + 1).cast("int")
+    return F.when(F.length(text) <= chars, F.col(text)).otherwise(F.concat_ws("\n", *[F.substring(F.col(text), at(i), F.lit(size)) for i in range(pieces)]))
+
+
 def fresh(df: DataFrame) -> DataFrame:
     """Deal an aggregate anew, so that a join on its keys exchanges both sides and AQE may split a hot key."""
     return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

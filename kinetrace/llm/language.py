@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, small_batches, table
+from .common import excerpt, held_out, small_batches, table
 
 ORDERS, BUCKETS = (1, 2, 3, 4), 1 << 16
-#: The training sample: about so many documents of each language, of at most so many code points.
+#: The training sample: about so many documents of each language; of longer ones than so many code points an excerpt.
 TRAIN_DOCS, TRAIN_CHARS = 400, 20_000
 #: A document is ambiguous if the losses of the two nearest codewords differ by less than this share of all weights.
 AMBIGUOUS = 0.02
@@ -166,8 +166,8 @@ def sample(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> list[tuple[str, str]]
         return []
     part = 1 << 30
     limit = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(part, part * per_lang // n))) for lang, n in sorted(counts.items())])
-    rows = own.where((F.pmod(F.xxhash64("doc_id"), F.lit(part)) < limit) & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    return sorted((r.text, r.lang) for r in rows.select("text", "lang").collect())
+    rows = own.where((F.pmod(F.xxhash64("doc_id"), F.lit(part)) < limit) & F.col("text").isNotNull())
+    return sorted((r.text, r.lang) for r in rows.select(excerpt("text", TRAIN_CHARS).alias("text"), "lang").collect())
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, small_batches, table
+from .common import excerpt, held_out, small_batches, table
 from .language import normal
 
 WINDOW, OVERLAP = 60, 16
 #: Goes after every window: its match makes each block worth compressing, so that no gain is a step to or from a stored block.
 PAD = bytes(48)
-#: The training sample: about so many documents of either label, of at most so many code points.
+#: The training sample: about so many documents of either label; of longer ones than so many code points an excerpt.
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_CHARS = 1200, 3600, 20_000
 #: A mark is a 5-gram so many times as frequent in toxic documents, with so many ordinary documents taken to have it beside those seen: two toxic ones of 1200 suffice, one never does.
 GRAM, RATIO, DOUBT = 5, 20, 0.25
@@ -164,7 +164,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     part, most = 1 << 30, {1: TRAIN_TOXIC, 0: TRAIN_ORDINARY}
     limit = F.coalesce(*[F.when(F.col("toxic") == y, F.lit(min(part, part * most[y] // n))) for y, n in counts.items()], F.lit(0))
     picked = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) < limit)
-    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS)).select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # about 4800 ids
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", excerpt("text", TRAIN_CHARS).alias("text")).join(F.broadcast(picked), "doc_id")  # about 4800 ids
     return sorted((r.text, r.toxic) for r in rows.select("text", "toxic").collect())
 
 

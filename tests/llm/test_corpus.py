@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from kinetrace.llm import bpe, embeddings, fingerprints, jaccard, language, lines, packing, shards, toxicity, warc
-from kinetrace.llm.common import components, new_path, numbered
+from kinetrace.llm.common import components, excerpt, new_path, numbered
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", "   ", "\n\n", "ÄÖ ß 日本\x85語", "one two three", "a" * 5000, "🙂 " * 300, "same text of some words here", "same text of some words here"]
@@ -436,6 +436,21 @@ def test_base_of_all_ordinary_texts():
     assert b"quorum vexing zebra" in base
 
 
+def test_long_texts_are_learned_from(spark):
+    rows = [(i, " ".join([t] * (1 + 25_000 // len(t))) if lang == "cc" else t, lang, s, n) for i, t, lang, s, n in labelled(300)]
+    df = spark.createDataFrame(rows, DOCS)
+    found = language.sample(df)
+    model = language.fit(found)
+    assert model.langs == ["aa", "bb", "cc"] and max(len(t) for t, _ in found) <= language.TRAIN_CHARS
+    got = {r.doc_id: r.lang_pred for r in language.identify(df, model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang, *_ in rows]) > 0.97
+    labels = spark.createDataFrame([(r[0], 1, int(r[2] == "cc")) for r in rows], "doc_id long, quality int, toxic int")
+    drawn = toxicity.sample(df, labels)
+    assert {y for _, y in drawn} == {0, 1} and max(len(t) for t, _ in drawn) <= toxicity.TRAIN_CHARS
+    ends = spark.createDataFrame([(0, "".join(map(str, range(9000))))], "doc_id long, text string").select(excerpt("text", 1000)).first()[0]
+    assert ends.startswith("0123") and ends.endswith("8999") and len(ends) <= 1000
+
+
 def test_pipeline(spark, tmp_path, corpus):
     import corpus_pipeline
 
