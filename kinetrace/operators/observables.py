@@ -15,6 +15,8 @@ from ..plans.planner import Bound
 from ..sources.topology import Topology
 
 FRAMES = "traj_id string, frame_idx long, time_ps double, coords array<double>, cell array<double>"
+#: First frames are broadcast up to so many bytes.
+FIRST_BYTES = 64 << 20
 Kernel = Callable[[np.ndarray, np.ndarray | None, np.ndarray | None], np.ndarray]
 
 
@@ -38,7 +40,7 @@ def kernel(bound: Bound, topology: Topology) -> Kernel:
     if o.name in ("DISTANCE", "SURFACE_DISTANCE"):
         return lambda x, cell, ref: K.least_distance(x, cell, *atoms)
     if o.name in ("CONTACT", "SALT_BRIDGE"):
-        return lambda x, cell, ref: (K.least_distance(x, cell, *atoms) <= opt["cutoff"] + K.tolerance(opt["cutoff"])).astype(float)
+        return lambda x, cell, ref: K.in_contact(x, cell, *atoms, opt["cutoff"])
     if o.name == "CONTACT_COUNT":
         residues = [(a.chain, a.residue_index) for a in every] if opt["mode"] == "residue" else None
         return lambda x, cell, ref: K.contact_count(x, cell, *atoms, opt["cutoff"], residues)
@@ -51,8 +53,7 @@ def kernel(bound: Bound, topology: Topology) -> Kernel:
             for d, h in ((a, b), (b, a)):
                 if every[h].element.upper() == "H":
                     hydrogens.setdefault(d, []).append(h)
-        triples = [(d, h, a) for d in atoms[0] for a in atoms[1] if a != d for h in hydrogens.get(d, ()) if h != a]
-        return lambda x, cell, ref: K.hydrogen_bond(x, cell, triples, opt["distance"], opt["min_angle"])
+        return lambda x, cell, ref: K.hydrogen_bond(x, cell, *atoms, hydrogens, opt["distance"], opt["min_angle"])
     if o.name == "DIHEDRAL":
         return lambda x, cell, ref: K.dihedral(x, cell, *(a[0] for a in atoms))
     if o.name == "HELIX":
@@ -107,8 +108,10 @@ def observe(frames: DataFrame, bounds: list[Bound], topology: Topology) -> DataF
     wants_first = any(b.observable.name == "RMSD" for b in bounds)
     columns = ["traj_id", "frame_idx", "time_ps", "coords", "cell"]
     if wants_first:
+        # One row a trajectory of known length: many trajectories are joined by a shuffle of their own first frames only.
         first = frames.groupBy("traj_id").agg(F.min_by("coords", "frame_idx").alias("first_coords"))
-        frames = frames.join(first, "traj_id")
+        few = first.limit(1 + FIRST_BYTES // (24 * max(atoms, 1))).count() * 24 * max(atoms, 1) <= FIRST_BYTES
+        frames = frames.join(F.broadcast(first) if few else first, "traj_id")
         columns.append("first_coords")
     names = ["traj_id", "frame_idx", "time_ps", *(f"o{i}" for i in range(len(bounds)))]
 

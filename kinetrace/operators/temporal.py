@@ -1,11 +1,12 @@
 """Temporal relations between lists of events, all within one trajectory.
 
-Lists are tables of EVENT columns; seq is the place in the list.  The list of a relation is
-in order of the left event, then of the right one.
+Lists are tables of EVENT columns, ordered by seq.  The list of a relation is in order of the
+left event, then of the right one: its seq is theirs in turn, so that no list is ever numbered.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ COLUMNS = ("seq", "start_ps", "end_ps", "type", "selections")
 
 
 def _fixed(gap: pd.Series) -> pd.Series:
-    return gap.map(lambda g: f"{g:.6f}")
+    return pd.Series(np.char.mod("%.6f", gap.to_numpy(float)))
 
 
 def fixed(gap: Column) -> Column:
@@ -32,9 +33,8 @@ def combined(pairs: DataFrame, relation: str) -> DataFrame:
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     start, end = F.least(a("start_ps"), b("start_ps")), F.greatest(a("end_ps"), b("end_ps"))
     gap = F.greatest(F.lit(0.0), b("start_ps") - a("end_ps"))
-    seq = F.row_number().over(Window.partitionBy("traj_id").orderBy(a("seq"), b("seq"))).cast("long")
     return pairs.select(
-        "traj_id", seq.alias("seq"), start.alias("start_ps"), end.alias("end_ps"), (end - start).alias("duration_ps"), F.lit(relation).alias("type"),
+        "traj_id", F.concat(a("seq"), b("seq")).alias("seq"), start.alias("start_ps"), end.alias("end_ps"), (end - start).alias("duration_ps"), F.lit(relation).alias("type"),
         F.concat(a("selections"), F.array_except(b("selections"), a("selections"))).alias("selections"),
         F.create_map(F.lit("left_type"), a("type"), F.lit("right_type"), b("type"), F.lit("transition_gap_ps"), fixed(gap)).alias("metadata"),
     )
@@ -90,13 +90,20 @@ def immediate_pairs(left: DataFrame, right: DataFrame, quantum: float = 1e-6) ->
 def next_pairs(left: DataFrame, right: DataFrame, within: float | None = None) -> DataFrame:
     """Each a with the earliest b that starts no sooner than a ends; of equal starts the first in the list.
 
-    Both lists in one order of falling time, the last b met so far goes to each a: a sort, no pairs.
+    Both lists in one order of falling time, the last b met so far goes to each a: a sort, no
+    pairs.  With a window of time the sort is by bins of twice that width, so that a long
+    trajectory is no single task; each b also stands in the bin before its own.
     """
     none = F.lit(None)
-    a = side(left, "a").select("traj_id", F.col("a.end_ps").alias("at"), F.lit(1).alias("is_a"), F.lit(0).cast("long").alias("place"), "a")
+    a = side(left, "a").select("traj_id", F.col("a.end_ps").alias("at"), F.lit(1).alias("is_a"), F.lit(None).cast("array<long>").alias("place"), "a")
     b = side(right, "b").select("traj_id", F.col("b.start_ps").alias("at"), F.lit(0).alias("is_a"), F.col("b.seq").alias("place"), "b")
+    own = ["traj_id"]
+    if within is not None:
+        bin_ = F.floor(F.col("at") / F.lit(2 * max(float(within), 1e-6)))
+        a, b = a.withColumn("bin", bin_), b.withColumn("bin", F.explode(F.array(bin_ - 1, bin_)))
+        own.append("bin")
     both = a.withColumn("b", none.cast(b.schema["b"].dataType)).unionByName(b.withColumn("a", none.cast(a.schema["a"].dataType)))
-    w = Window.partitionBy("traj_id").orderBy(F.desc("at"), F.asc("is_a"), F.desc("place")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*own).orderBy(F.desc("at"), F.asc("is_a"), F.desc("place")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = both.withColumn("b", F.last("b", ignorenulls=True).over(w)).where("is_a = 1 AND b IS NOT NULL").select("traj_id", "a", "b")
     return out if within is None else out.where(F.col("b.start_ps") - F.col("a.end_ps") <= F.lit(float(within)))
 
@@ -111,19 +118,16 @@ def relate(relation: str, left: DataFrame, right: DataFrame, within: float | Non
 
 def lasting(events: DataFrame, duration: float) -> DataFrame:
     """FOR: the events of at least a duration, unchanged."""
-    kept = events.where(F.col("duration_ps") >= F.lit(float(duration)))
-    return kept.withColumn("seq", F.row_number().over(Window.partitionBy("traj_id").orderBy("seq")).cast("long"))
+    return events.where(F.col("duration_ps") >= F.lit(float(duration)))
 
 
 def repeated(events: DataFrame, count: int, within: float | None = None) -> DataFrame:
     """REPEATS: every window of count events that follow each other in the list."""
     if count > 0x7FFFFFFF:
         return events.where(F.lit(False))
-    w = Window.partitionBy("traj_id").orderBy("seq")
-    last = F.lead("end_ps", count - 1).over(w)
+    last = F.lead("end_ps", count - 1).over(Window.partitionBy("traj_id").orderBy("seq")) if count > 1 else F.col("end_ps")
     d = events.withColumn("__last", last).where(F.col("__last").isNotNull()).withColumn("__span", F.col("__last") - F.col("start_ps"))
     if within is not None:
         d = d.where(F.col("__span") <= F.lit(float(within)))
-    seq = F.row_number().over(w).cast("long")
     meta = F.create_map(F.lit("source_type"), F.col("type"), F.lit("repeat_count"), F.lit(str(count)), F.lit("repeat_span_ps"), fixed(F.col("__span")))
-    return d.select("traj_id", seq.alias("seq"), "start_ps", F.col("__last").alias("end_ps"), F.col("__span").alias("duration_ps"), F.lit("REPEATS").alias("type"), "selections", meta.alias("metadata"))
+    return d.select("traj_id", "seq", "start_ps", F.col("__last").alias("end_ps"), F.col("__span").alias("duration_ps"), F.lit("REPEATS").alias("type"), "selections", meta.alias("metadata"))

@@ -6,14 +6,17 @@ intervals from ``orders``, frames from ``embeddings`` (see sources.adapters).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import temporal as T
-from ..operators.events import events, islands
-from ..sources.adapters import embedding_frames, order_intervals, sampled_events, synthetic_topology
+from ..operators.events import events, islands, released_with
+from ..operators.observables import condition
+from ..sources.adapters import EVENT_TYPES, RESIDUES, embedding_frames, order_intervals, part_atoms, sampled_events, synthetic_topology
 from .api import Trajectory
+from .language import Observable, parse, walk
+from .planner import check_types
 
 DAY = 86_400_000_000.0
 # Sampled events.
@@ -35,9 +38,14 @@ def runs(spark: SparkSession, sf_dir: str, **predicates: str) -> DataFrame:
     return events(found, {n: (n, [n]) for n in predicates})
 
 
-def lists(spark, sf_dir, **predicates) -> list[DataFrame]:
-    r = runs(spark, sf_dir, **predicates).persist()
-    return [r.where(F.col("source") == n).drop("source") for n in predicates]
+def over(make, **predicates):
+    """A query: make(lists of the runs of the predicates), which share one cached table."""
+
+    def query(spark, sf_dir):
+        r = runs(spark, sf_dir, **predicates).persist()
+        return released_with(make(*(r.where(F.col("source") == n).drop("source") for n in predicates)), r)
+
+    return query
 
 
 def shown(d: DataFrame) -> DataFrame:
@@ -57,19 +65,42 @@ def q_islands_multi(spark, sf_dir):
 
 
 def q_monotonic(spark, sf_dir):
-    """A sample per user whose time isn't later than the one before: none, or the query fails."""
-    r = runs(spark, sf_dir, a="value IS NOT NULL")
-    return r.groupBy(F.col("traj_id").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("n_runs"), F.max("duration_ps").alias("longest"))
+    """Runs of the samples as they are, and whether samples out of order are refused: of the last user one more at the time of the last, one before it, one at no finite time."""
+    good = sampled_events(spark, sf_dir)
+    last = good.orderBy(F.desc(F.col("traj_id").cast("long")), F.desc("at")).limit(1)
+    moved = lambda time: good.unionByName(last.withColumn("time_ps", time).withColumn("at", F.col("at") + 1))
+    cases = {"as it is": good, "same time": moved(F.col("time_ps")), "earlier": moved(F.col("time_ps") - 1), "infinite": moved(F.lit(float("inf")))}
+    rows = []
+    for name, samples in cases.items():
+        try:
+            found = islands(samples, {"a": F.col("value").isNotNull()}, ["traj_id"], "at", "time_ps", int(30 * DAY))
+            rows.append((name, found.count(), False))
+        except Exception as e:
+            if "strictly increasing" not in str(e) and "must be finite" not in str(e):
+                raise
+            rows.append((name, None, True))
+    return spark.createDataFrame(rows, "input string, n_runs long, refused boolean")
+
+
+def predicate_query(text):
+    """Runs of a frame predicate of the query language; its observables are the value of a sample and the number of its type."""
 
+    def query(spark, sf_dir):
+        e = parse(f"FIND {text}")
+        check_types(e)
+        column_of = {o.key: F.col("value") if o.name == "DISTANCE" else F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type")) for o in walk(e) if isinstance(o, Observable)}
+        found = islands(sampled_events(spark, sf_dir), {"a": condition(e, column_of)}, ["traj_id"], "at", "time_ps", int(30 * DAY))
+        return shown(events(found, {"a": ("a", ["a"])}))
 
-def predicate_query(predicate):
-    return lambda spark, sf_dir: shown(runs(spark, sf_dir, a=predicate))
+    return query
 
 
+VALUE, KIND = "DISTANCE(value, origin)", "CONTACT_COUNT(type, type)"
+#: Text and SQL; types are numbered from 1 in alphabetical order.
 PREDICATES = {
-    "pred_lt": "value < 20", "pred_le": "value <= 20", "pred_gt": "value > 100", "pred_ge": "value >= 100",
-    "pred_eq": "event_type = 'view'", "pred_ne": "event_type <> 'view'", "pred_and": "value > 30 AND event_type <> 'view'",
-    "pred_or": "value > 100 OR event_type = 'click'", "pred_grouped": "(value > 30 OR event_type = 'error') AND value < 90",
+    "pred_lt": (f"{VALUE} < 20nm", "value < 20"), "pred_le": (f"{VALUE} <= 20nm", "value <= 20"), "pred_gt": (f"{VALUE} > 100nm", "value > 100"), "pred_ge": (f"{VALUE} >= 100nm", "value >= 100"),
+    "pred_eq": (f"{KIND} == 5", "event_type = 'view'"), "pred_ne": (f"{KIND} != 5", "event_type <> 'view'"), "pred_and": (f"{VALUE} > 30nm AND {KIND} != 5", "value > 30 AND event_type <> 'view'"),
+    "pred_or": (f"{VALUE} > 100nm OR {KIND} == 1", "value > 100 OR event_type = 'click'"), "pred_grouped": (f"({VALUE} > 30nm OR {KIND} == 2) AND {VALUE} < 90nm", "(value > 30 OR event_type = 'error') AND value < 90"),
 }
 
 CLICKED, LOW_OR_ERROR = "event_type = 'click'", "value < 5 OR event_type = 'error'"
@@ -77,66 +108,62 @@ HIGH, LOW = "value > 100", "value < 5"
 SQL_HIGH, SQL_LOW, SQL_CLICK = sql_runs("h", HIGH), sql_runs("l", LOW), sql_runs("c", CLICKED)
 
 
-def pair_counts(make):
+def pair_counts(pairs):
     """Counts and sums of pairs of each user: the pairs themselves are too many to return."""
 
-    def query(spark, sf_dir):
-        h, low = lists(spark, sf_dir, h=HIGH, l=LOW)
-        p = make(h, low)
-        return p.groupBy(F.col("traj_id").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.col("a.seq") * 1000 + F.col("b.seq")).alias("checksum"))
+    def counted(h, low):
+        p = pairs(h, low)
+        total = F.sum((F.col("a.start_ps") + 2 * F.col("b.end_ps")).cast("decimal(38,0)")).cast("double")
+        return p.groupBy(F.col("traj_id").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("n_pairs"), total.alias("checksum"))
 
-    return query
+    return over(counted, h=HIGH, l=LOW)
 
 
 def sql_pair_counts(on: str) -> str:
-    return f"WITH {SQL_S}, {SQL_HIGH}, {SQL_LOW} SELECT h.user_id, count(*) AS n_pairs, sum(h.seq * 1000 + l.seq)::BIGINT AS checksum FROM h JOIN l ON h.user_id = l.user_id AND {on} GROUP BY h.user_id"
+    return f"WITH {SQL_S}, {SQL_HIGH}, {SQL_LOW} SELECT h.user_id, count(*) AS n_pairs, sum((h.st + 2 * l.en)::HUGEINT)::DOUBLE AS checksum FROM h JOIN l ON h.user_id = l.user_id AND {on} GROUP BY h.user_id"
 
 
 def composite(d: DataFrame) -> DataFrame:
-    return d.select(F.col("traj_id").cast("long").alias("user_id"), "seq", "start_ps", "end_ps", "duration_ps")
+    """Events with their place in the list and all that they carry."""
+    place = F.row_number().over(Window.partitionBy("traj_id").orderBy("seq")).cast("long")
+    meta = F.array_join(F.transform(F.array_sort(F.map_keys("metadata")), lambda k: F.concat(k, F.lit("="), F.col("metadata")[k])), ";")
+    return d.select(F.col("traj_id").cast("long").alias("user_id"), place.alias("seq"), "start_ps", "end_ps", "duration_ps", "type", F.array_join("selections", ",").alias("selections"), meta.alias("metadata"))
 
 
 def q_followed(within=None, relation="FOLLOWED_BY"):
-    def query(spark, sf_dir):
-        h, low = lists(spark, sf_dir, h=HIGH, l=LOW)
-        return composite(T.relate(relation, h, low, within))
-
-    return query
+    return over(lambda h, low: composite(T.relate(relation, h, low, within)), h=HIGH, l=LOW)
 
 
-def sql_next(a: str, b: str, out: str, within: float | None = None) -> str:
+def sql_next(a: str, b: str, out: str, within: float | None = None, types: tuple[str, str] | None = None, relation: str = "FOLLOWED_BY", selections: str | None = None) -> str:
     """Each a with the earliest b at or after its end; ties by seq."""
     extra = f" WHERE bst - aen <= {within}" if within is not None else ""
+    left, right = types or (a, b)
     return (
         f"{out}_n AS (SELECT {a}.user_id, {a}.seq AS aseq, {a}.st AS ast, {a}.en AS aen, {b}.st AS bst, {b}.en AS ben, row_number() OVER (PARTITION BY {a}.user_id, {a}.seq ORDER BY {b}.st, {b}.seq) AS rn FROM {a} JOIN {b} ON {a}.user_id = {b}.user_id AND {b}.st >= {a}.en), "
-        f"{out} AS (SELECT user_id, least(ast, bst) AS st, greatest(aen, ben) AS en, row_number() OVER (PARTITION BY user_id ORDER BY aseq) AS seq FROM (SELECT * FROM {out}_n WHERE rn = 1){extra})"
+        f"{out} AS (SELECT user_id, least(ast, bst) AS st, greatest(aen, ben) AS en, row_number() OVER (PARTITION BY user_id ORDER BY aseq) AS seq, '{relation}' AS type, '{selections or f'{a},{b}'}' AS selections, printf('left_type={left};right_type={right};transition_gap_ps=%.6f', greatest(0, bst - aen)) AS metadata FROM (SELECT * FROM {out}_n WHERE rn = 1){extra})"
     )
 
 
-COMPOSITE = "SELECT user_id, seq::BIGINT AS seq, st AS start_ps, en AS end_ps, en - st AS duration_ps FROM"
+COMPOSITE = "SELECT user_id, seq::BIGINT AS seq, st AS start_ps, en AS end_ps, en - st AS duration_ps, type, selections, metadata FROM"
 
 
-def q_for(spark, sf_dir):
-    return composite(T.lasting(lists(spark, sf_dir, a="value > 30")[0], DAY / 4))
+q_for = over(lambda a: composite(T.lasting(a, DAY / 4)), a="value > 30")
 
 
 def q_repeats(within=None):
-    return lambda spark, sf_dir: composite(T.repeated(lists(spark, sf_dir, a="value > 50")[0], 3, within))
+    return over(lambda a: composite(T.repeated(a, 3, within)), a="value > 50")
 
 
 def sql_repeats(extra: str = "") -> str:
-    return f"WITH {SQL_S}, {sql_runs('a', 'value > 50')}, r AS (SELECT user_id, seq AS place, st, lead(en, 2) OVER (PARTITION BY user_id ORDER BY seq) AS en FROM a), k AS (SELECT user_id, st, en, row_number() OVER (PARTITION BY user_id ORDER BY place) AS seq FROM r WHERE en IS NOT NULL{extra}) {COMPOSITE} k"
+    return f"WITH {SQL_S}, {sql_runs('a', 'value > 50')}, r AS (SELECT user_id, seq AS place, st, lead(en, 2) OVER (PARTITION BY user_id ORDER BY seq) AS en FROM a), k AS (SELECT user_id, st, en, row_number() OVER (PARTITION BY user_id ORDER BY place) AS seq, 'REPEATS' AS type, 'a' AS selections, printf('repeat_count=3;repeat_span_ps=%.6f;source_type=a', en - st) AS metadata FROM r WHERE en IS NOT NULL{extra}) {COMPOSITE} k"
 
 
-def q_chain(spark, sf_dir):
-    h, low, click = lists(spark, sf_dir, h=HIGH, l=LOW, c=CLICKED)
-    return composite(T.relate("FOLLOWED_BY", T.relate("FOLLOWED_BY", h, low, 3 * DAY), click, DAY))
+q_chain = over(lambda h, low, click: composite(T.relate("FOLLOWED_BY", T.relate("FOLLOWED_BY", h, low, 3 * DAY), click, DAY)), h=HIGH, l=LOW, c=CLICKED)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values above 100 followed by values below 5 within a day, per user."""
-    h, low = lists(spark, sf_dir, h=HIGH, l=LOW)
-    return T.relate("FOLLOWED_BY", h, low, DAY)
+    return over(lambda h, low: T.relate("FOLLOWED_BY", h, low, DAY), h=HIGH, l=LOW)(spark, sf_dir)
 
 
 # Intervals.
@@ -147,14 +174,14 @@ URGENT, LATE = "type = '1-URGENT'", "type = '5-LOW'"
 
 
 def interval_lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    i = order_intervals(spark, sf_dir).withColumnRenamed("key", "seq").withColumn("selections", F.array("type"))
+    i = order_intervals(spark, sf_dir).withColumn("seq", F.array("key")).withColumn("selections", F.array("type"))
     return i.where(URGENT), i.where(LATE)
 
 
 def interval_pairs(make):
     def query(spark, sf_dir):
         a, b = interval_lists(spark, sf_dir)
-        return make(a, b).select(F.col("traj_id").cast("long").alias("cust"), F.col("a.seq").alias("left_key"), F.col("b.seq").alias("right_key"))
+        return make(a, b).select(F.col("traj_id").cast("long").alias("cust"), F.col("a.seq")[0].alias("left_key"), F.col("b.seq")[0].alias("right_key"))
 
     return query
 
@@ -300,25 +327,28 @@ o AS (SELECT f, sum(4 * pi() * rr * rr * CASE WHEN hid THEN 0 ELSE 1 END / 96) A
 
 
 def q_selection(text: str):
-    """Selections filter a table of atoms: here the synthetic one."""
+    """Selections filter a table of atoms: the parts, see adapters.part_atoms."""
 
     def query(spark, sf_dir):
         from ..functions.selection import predicate
 
-        return synthetic_topology().atoms_frame(spark).where(predicate(text)).select("atom_index", "name", "residue_name")
+        return part_atoms(spark, sf_dir).where(predicate(text)).select("atom_index", "name", "residue_name")
 
     return query
 
 
 def sql_selection(where: str) -> str:
-    rows = ", ".join(f"({i}, '{('N', 'CA', 'C')[i % 3]}', '{('ARG', 'ASP', 'GLU', 'PHE', 'TYR', 'SER', 'HOH')[i // 3]}', {1 + i // 3}, '{'A' if i < 12 else 'B'}', '{('N', 'C', 'C')[i % 3]}')" for i in range(21))
-    return f"SELECT atom_index::BIGINT AS atom_index, name, residue_name FROM (VALUES {rows}) t(atom_index, name, residue_name, residue_index, chain, element) WHERE {where}"
+    pick = lambda values, n: f"[{', '.join(repr(v) for v in values)}][1 + {n}]"
+    return f"""WITH t AS (SELECT p_partkey AS atom_index, {pick(("N", "CA", "C", "HA"), "p_partkey % 4")} AS name, {pick(RESIDUES, "p_size % 7")} AS residue_name, p_size AS residue_index,
+{pick("ABC", "p_partkey % 3")} AS chain, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE {pick(("N", "C", "C", "H"), "p_partkey % 4")} END AS element FROM part) SELECT atom_index, name, residue_name FROM t WHERE {where}"""
 
 
+HYDROGEN = "(element = 'H' OR element = '' AND name[1] = 'H')"
 SELECTIONS = {
     "sel_resid": ("resid 3", "residue_index = 3"), "sel_resid_range": ("resid 2:4", "residue_index BETWEEN 2 AND 4"), "sel_name": ("name CA", "name = 'CA'"), "sel_resname": ("resname ARG", "residue_name = 'ARG'"),
-    "sel_chain": ("chain B", "chain = 'B'"), "sel_protein": ("protein", "residue_name NOT IN ('HOH', 'WAT')"), "sel_hydrogen": ("not hydrogen", "element <> 'H'"), "sel_and": ("resid 1:3 and name N", "residue_index BETWEEN 1 AND 3 AND name = 'N'"),
+    "sel_chain": ("chain B", "chain = 'B'"), "sel_protein": ("protein", "residue_name NOT IN ('HOH', 'WAT')"), "sel_hydrogen": ("hydrogen", HYDROGEN), "sel_and": ("resid 1:30 and name N", "residue_index BETWEEN 1 AND 30 AND name = 'N'"),
     "sel_or": ("resname ARG or resname SER", "residue_name IN ('ARG', 'SER')"), "sel_not": ("not chain A", "chain <> 'A'"), "sel_grouped": ("(name CA or name N) and chain B", "name IN ('CA', 'N') AND chain = 'B'"),
+    "sel_not_hydrogen": ("protein and not hydrogen", f"residue_name NOT IN ('HOH', 'WAT') AND NOT {HYDROGEN}"),
 }
 
 OBSERVED = {
@@ -347,7 +377,7 @@ def orders_sql(rest: str) -> str:
 def queries() -> dict:
     out = {
         "evt_islands": q_islands, "evt_islands_multi_source": q_islands_multi, "evt_time_monotonic_check": q_monotonic,
-        **{n: predicate_query(p) for n, p in PREDICATES.items()},
+        **{n: predicate_query(p) for n, (p, _) in PREDICATES.items()},
         "tmp_for": q_for, "tmp_repeats": q_repeats(), "tmp_repeats_within": q_repeats(4 * DAY),
         "tmp_before": pair_counts(T.before_pairs), "tmp_after": pair_counts(T.after_pairs), "tmp_precedes": pair_counts(T.precedes_pairs),
         "tmp_overlaps": interval_pairs(T.overlap_pairs), "tmp_during": interval_pairs(T.during_pairs), "tmp_immediately_followed_by": interval_pairs(T.immediate_pairs),
@@ -382,17 +412,17 @@ def oracle_sql() -> dict[str, str]:
     out = {
         "evt_islands": f"WITH {SQL_S}, {sql_runs('a', 'value > 50')} {SHOW} a",
         "evt_islands_multi_source": f"WITH {SQL_S}, {sql_runs('a', 'value > 50')}, {sql_runs('b', CLICKED)}, {sql_runs('c', LOW_OR_ERROR)} {multi}",
-        "evt_time_monotonic_check": f"WITH {SQL_S}, {sql_runs('a', 'value IS NOT NULL')} SELECT user_id, count(*) AS n_runs, max(en - st) AS longest FROM a GROUP BY user_id",
-        **{n: f"WITH {SQL_S}, {sql_runs('a', p)} {SHOW} a" for n, p in PREDICATES.items()},
-        "tmp_for": f"WITH {SQL_S}, {sql_runs('a', 'value > 30')}, k AS (SELECT user_id, st, en, row_number() OVER (PARTITION BY user_id ORDER BY st) AS seq FROM a WHERE en - st >= {DAY / 4}) {COMPOSITE} k",
+        "evt_time_monotonic_check": f"WITH {SQL_S}, {sql_runs('a', 'value IS NOT NULL')} SELECT 'as it is' AS input, (SELECT count(*) FROM a) AS n_runs, false AS refused UNION ALL SELECT unnest(['same time', 'earlier', 'infinite']), NULL, true",
+        **{n: f"WITH {SQL_S}, {sql_runs('a', p)} {SHOW} a" for n, (_, p) in PREDICATES.items()},
+        "tmp_for": f"WITH {SQL_S}, {sql_runs('a', 'value > 30')}, k AS (SELECT user_id, st, en, row_number() OVER (PARTITION BY user_id ORDER BY st) AS seq, 'a' AS type, 'a' AS selections, '' AS metadata FROM a WHERE en - st >= {DAY / 4}) {COMPOSITE} k",
         "tmp_repeats": sql_repeats(),
         "tmp_repeats_within": sql_repeats(f" AND en - st <= {4 * DAY}"),
         "tmp_before": sql_pair_counts("h.en <= l.st"), "tmp_after": sql_pair_counts("h.st >= l.en"), "tmp_precedes": sql_pair_counts("h.en < l.st"),
         "tmp_overlaps": sql_interval_pairs("a.st <= b.en AND b.st <= a.en"), "tmp_during": sql_interval_pairs("b.st <= a.st AND a.en <= b.en"), "tmp_immediately_followed_by": sql_interval_pairs("a.en = b.st"),
         "tmp_followed_by": f"WITH {SQL_S}, {SQL_HIGH}, {SQL_LOW}, {sql_next('h', 'l', 'n')} {COMPOSITE} n",
         "tmp_followed_by_within": f"WITH {SQL_S}, {SQL_HIGH}, {SQL_LOW}, {sql_next('h', 'l', 'n', DAY)} {COMPOSITE} n",
-        "tmp_until": f"WITH {SQL_S}, {SQL_HIGH}, {SQL_LOW}, {sql_next('h', 'l', 'n')} {COMPOSITE} n",
-        "tmp_chain": f"WITH {SQL_S}, {SQL_HIGH}, {SQL_LOW}, {SQL_CLICK}, {sql_next('h', 'l', 'n', 3 * DAY)}, {sql_next('n', 'c', 'z', DAY)} {COMPOSITE} z",
+        "tmp_until": f"WITH {SQL_S}, {SQL_HIGH}, {SQL_LOW}, {sql_next('h', 'l', 'n', relation='UNTIL')} {COMPOSITE} n",
+        "tmp_chain": f"WITH {SQL_S}, {SQL_HIGH}, {SQL_LOW}, {SQL_CLICK}, {sql_next('h', 'l', 'n', 3 * DAY)}, {sql_next('n', 'c', 'z', DAY, ('FOLLOWED_BY', 'c'), selections='h,l,c')} {COMPOSITE} z",
         "ana_recurrence": orders_sql("g AS (SELECT *, CASE WHEN lag(en) OVER w IS NOT NULL THEN greatest(0.0::DOUBLE, st - lag(en) OVER w) END AS gap FROM i WINDOW w AS (PARTITION BY cust, type ORDER BY st, en)) SELECT cust, type, count(*) AS count, sum(dur) AS total_duration_ps, round(avg(dur), 6) AS mean_duration_ps, round(median(dur), 6) AS median_duration_ps, round(coalesce(avg(gap), 0.0::DOUBLE), 6) AS mean_gap_ps FROM g GROUP BY cust, type"),
         "ana_frequency": f"WITH {SQL_I} SELECT cust, type, round(count(*) / 1000.0::DOUBLE, 6) AS frequency_per_ps FROM i GROUP BY cust, type",
         "ana_conditional_probability": orders_sql("a AS (SELECT i.cust, max(CASE WHEN b.key IS NOT NULL THEN 1.0 ELSE 0.0 END) AS hit FROM i LEFT JOIN i b ON b.cust = i.cust AND b.type = '5-LOW' AND b.st >= i.en AND b.st <= i.en + 100.0::DOUBLE WHERE i.type = '1-URGENT' GROUP BY i.cust, i.key), p AS (SELECT cust, avg(hit)::DOUBLE AS p FROM a GROUP BY cust) SELECT DISTINCT i.cust, round(coalesce(p, 0.0::DOUBLE), 6) AS probability FROM i LEFT JOIN p ON p.cust = i.cust"),

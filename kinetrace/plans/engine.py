@@ -27,9 +27,13 @@ def streams(plan: Plan, frames: DataFrame, topology: Topology) -> DataFrame:
 
 
 def execute(plan: Plan, frames: DataFrame, topology: Topology) -> DataFrame:
-    """The events of a query, lazily.  One scan of the frames serves all predicates of the query."""
+    """The events of a query, lazily.  One scan of the frames serves all predicates of the query.
+
+    Events of several predicates are kept until the table that is returned goes.
+    """
     found = streams(plan, frames, topology)
-    if len(plan.sources) > 1:
+    several = len(plan.sources) > 1
+    if several:
         found = found.persist()
 
     def build(e) -> DataFrame:
@@ -42,4 +46,5 @@ def execute(plan: Plan, frames: DataFrame, topology: Topology) -> DataFrame:
         assert isinstance(e, Relation)
         return T.relate(e.op, build(e.left), build(e.right), e.within)
 
-    return build(plan.root)
+    out = build(plan.root)
+    return E.released_with(out, found) if several else out

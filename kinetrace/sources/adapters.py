@@ -10,6 +10,7 @@ from .topology import Topology
 
 RESIDUES = ("ARG", "ASP", "GLU", "PHE", "TYR", "SER", "HOH")
 ATOMS = 21
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
 def sampled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,15 @@ def order_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_custkey").cast("string").alias("traj_id"), F.col("o_orderkey").alias("key"), start.alias("start_ps"), (start + length).alias("end_ps"), length.alias("duration_ps"), F.col("o_orderpriority").alias("type"))
 
 
+def part_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as a table of atoms: residues by size, names, chains and elements in turn; every fifth atom has no element."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
+    key = F.col("p_partkey")
+    element = F.when(key % 5 == 0, "").otherwise(pick(("N", "C", "C", "H"), key % 4))
+    return p.select(key.alias("atom_index"), pick(("N", "CA", "C", "HA"), key % 4).alias("name"), pick(RESIDUES, F.col("p_size") % 7).alias("residue_name"), F.col("p_size").alias("residue_index"), pick("ABC", key % 3).alias("chain"), element.alias("element"))
+
+
 def synthetic_topology(kind: str = "backbone") -> Topology:
     """21 atoms in 7 residues of N, CA, C; kind hbond: N, H, O instead. Neighbours are bonded."""
     names, elements = (("N", "CA", "C"), ("N", "C", "C")) if kind == "backbone" else (("N", "H", "O"), ("N", "H", "O"))
