@@ -10,6 +10,7 @@ _PLACES = {
     "QueryError": ".plans.language",
     "Topology": ".sources.topology",
     "Trajectory": ".plans.api",
+    "distance": ".functions.kernels",
     "explain": ".plans.planner",
     "load": ".plans.api",
     "minimum_image_distance": ".functions.kernels",
