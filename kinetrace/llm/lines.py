@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, fresh, small_batches, table
+from .common import BLANKS, LOWER, UPPER, fresh, key_filter, maybe_held, small_batches, stash, table
 
 MIN_CHARS, MIN_DOCS = 10, 2
 
@@ -17,14 +17,15 @@ def line_key(line):
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, drop): the sorted positions of the lines that each document loses.
+    """(doc_id, h, drop): the sorted positions of the lines that each text loses; h is its 64-bit hash.
 
+    Rows that repeat a doc_id are one document, but each text of it has positions of its own.
     Only hashes of lines are dealt out (two 64-bit hashes: one key of 128 bits); the
     counts are partly aggregated first, and the join on them may be split by AQE.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
+    lines = docs.select("doc_id", text_hash().alias("h"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
-    lines = lines.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+    lines = lines.select("doc_id", "h", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
     per_key = lines.groupBy("h1", "h2")
     if min_docs == 2:
         shared = per_key.agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
@@ -32,7 +33,11 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
         each = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         shared = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.sum("one").alias("n")).where(F.col("n") >= min_docs)
     lost = lines.join(fresh(shared.select("h1", "h2", "first_id")), ["h1", "h2"]).where("doc_id > first_id")
-    return lost.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
+    return lost.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
+
+
+def text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def without(text: str | None, drop: list[int] | None) -> tuple[int, str]:
@@ -48,26 +53,43 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """Every row of docs with n_lines, n_dropped and kept_text.
 
     Keys of at least min_chars code points found in at least min_docs documents lose all
-    their lines except in the smallest doc_id holding it; the other lines stay in order.
-    Null or empty text is one empty line.  Rows that repeat a doc_id count as one document.
-    Rows with a null doc_id lose nothing.  Result columns replace input columns of the
-    same name; all other columns are kept.
+    their lines except in the smallest doc_id holding it (all of them there, if it repeats
+    the line); the other lines stay in order.  Null or empty text is one empty line.  Rows
+    that repeat a doc_id count as one document; each loses only lines of its own text.  Rows
+    with a null doc_id lose nothing and count for nobody.  Long texts are handled whole.  An
+    empty table gives no rows.  Result columns replace input columns of the same name; all
+    other columns are kept, whatever their names.
+
+    Only texts that a filter of the losing ones may hold are dealt out to meet their positions,
+    by the same join whatever the size.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("n_lines", "n_dropped", "kept_text", "__drop", "__cut")
-    drop = dropped_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("__drop_id"), "drop")
-    both = docs.join(drop.withColumnRenamed("drop", "__drop"), docs["doc_id"] == F.col("__drop_id"), "left").drop("__drop_id")
-    names = [c for c in both.columns if c != "__drop"]
+    docs = docs.drop("n_lines", "n_dropped", "kept_text")
+    drop = stash(dropped_lines(docs, min_chars, min_docs), "drops", "zstd")
+    # Names of our own that no input column has.
+    id_, h, gone = (next(f"{n}{i}" for i in range(len(docs.columns) + 1) if f"{n}{i}" not in docs.columns) for n in ("drop_id", "drop_h", "drop"))
+    here = docs.withColumn(h, F.xxhash64("doc_id", text_hash()))
+    losing = drop.select(F.xxhash64("doc_id", "h").alias("key"), "doc_id", F.col("h").alias("own"), F.col("drop").alias(gone))
+    n = losing.count()
+    if n:
+        losing = losing.select(F.col("doc_id").alias(id_), F.col("key").alias(h), gone)
+        bits = key_filter(losing.select(h), n)
+        here = here.withColumn("hit" + h, maybe_held(bits, F.col(h)))
+        dealt = here.where(F.col("hit" + h)).drop("hit" + h)
+        both = dealt.join(losing.hint("merge"), (dealt[h] == losing[h]) & (F.col("doc_id") == F.col(id_)), "left").select(*[dealt[c] for c in docs.columns], gone)
+        both = both.unionByName(here.where(~F.col("hit" + h)).select(*docs.columns, F.lit(None).cast("array<int>").alias(gone)))
+    else:
+        both = docs.withColumn(gone, F.lit(None).cast("array<int>"))
     everything = list(both.columns)
-    where = everything.index("text"), everything.index("__drop")
+    where = everything.index("text"), everything.index(gone)
+    names = everything[:-1]
     schema = both.select(*names).schema.add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
 
     def cut(batches):
         for b in batches:
             texts, drops = b.column(where[0]).to_pylist(), b.column(where[1]).to_pylist()
             done = [without(t, d) for t, d in zip(texts, drops, strict=True)]
-            cols = [c for c, n in zip(b.columns, everything, strict=True) if n != "__drop"]
-            cols += [pa.array([n for n, _ in done], pa.int64()), pa.array([len(d or ()) for d in drops], pa.int64()), pa.array([t for _, t in done], pa.string())]
+            cols = [*b.columns[:-1], pa.array([n for n, _ in done], pa.int64()), pa.array([len(d or ()) for d in drops], pa.int64()), pa.array([t for _, t in done], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_lines", "n_dropped", "kept_text"])
 
     return both.mapInArrow(cut, schema)
