@@ -1,15 +1,21 @@
-"""Toxicity by compression distance: zstandard dictionaries of ordinary and of toxic text.
-
-The ordinary dictionary is trained on windows of ordinary texts.  The toxic one holds the
-same and, nearer to the window, all that marks toxic texts, however rare it is in them; the
-common part makes the two lengths of an ordinary window equal but for a byte or two, so that
-what a window gains by the toxic dictionary is due to those pieces.
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text.
+
+Both classes share a large dictionary that zstandard trains on ordinary text, and each has
+one of its own behind it, trained on the windows of its texts that the common one compresses
+badly.  The gain of a window is the number of bytes by which it is shorter with the toxic
+dictionary than with the ordinary one; it is measured where the toxic one holds a run of the
+window that the ordinary one lacks, and 0 elsewhere.  What toxic texts have in common is found by
+compression too: their documents are parted in two, and of either part those windows train
+the toxic dictionary that the dictionaries of the other part find toxic, by a gain that
+hardly an ordinary window exceeds.
+
+Documents that no dictionary was trained on give the thresholds: how much evidence each gain
+is, and from which sum of evidence over all windows a document counts as toxic.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -21,59 +27,124 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import excerpt, held_out, small_batches, table
-from .language import normal
+from .language import logistic, normal
 
-WINDOW, OVERLAP = 60, 16
+#: Bytes of a window, and from one to the next.
+WINDOW, STEP = 24, 12
 #: Goes after every window: its match makes each block worth compressing, so that no gain is a step to or from a stored block.
 PAD = bytes(48)
 #: The training sample: about so many documents of either label; of longer ones than so many code points an excerpt.
-TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_CHARS = 1200, 3600, 20_000
-#: A mark is a 5-gram so many times as frequent in toxic documents, with so many ordinary documents taken to have it beside those seen: two toxic ones of 1200 suffice, one never does.
-GRAM, RATIO, DOUBT = 5, 20, 0.25
-#: The part that the dictionaries share, and the most of the other in the toxic one.
-BASE_BYTES, TOXIC_BYTES = 4096, 1 << 18
-#: Gains are learned from on documents that the dictionaries were not trained on: each of so many parts in turn.
-FOLDS = 3
-#: Bytes gained by a window count from the value that at most such a share of ordinary windows exceeds.
-CALM = 0.001
+TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_CHARS = 1600, 6000, 20_000
+#: The common dictionary, its training windows and the length of its segments. With one of its own behind it, it has to fit into a search table of 2**20 places.
+BASE_BYTES, BASE_WINDOW, BASE_SEGMENT = (1 << 20) - (1 << 17) - (1 << 16), 120, 400
+#: The dictionaries of a class: bytes in a trial, of the ordinary one in the end and, at least and at most, of the toxic one; segments and the runs they are chosen by.
+TRIAL_BYTES, CALM_BYTES, OWN_BYTES, SEGMENT, RUN = 1 << 18, 1 << 17, (1 << 13, 1 << 16), 16, 6
+#: The least match that the compressor looks for.
+MATCH = 5
+#: Of ordinary windows, this share is easy for the common dictionary, and that share gains less than a toxic one must.
+EASY, CALM = 0.95, 0.9998
+#: Gains are told apart from and up to these values.
+LOW, HIGH = -2, 10
+#: Such a share of the ordinary documents that calibrate lies above the threshold, at most.
+FALSE_ALARMS = 0.003
 CUT = 0.7
-#: The gains whose shares of windows are features of a document.
-STEPS = (2, 3, 4, 5, 6, 8)
-FEATURES = len(STEPS) + 3
 
 
-def windows(doc: bytes) -> list[bytes]:
+#: Bits of the table that rules out most runs at once.
+TABLE_BITS = 22
+
+
+def windows(doc: bytes, size: int = WINDOW, step: int = STEP) -> list[bytes]:
     """Overlapping windows of a normalised text; the last takes what is left."""
-    return [doc[i : i + WINDOW] for i in range(0, max(1, len(doc) - OVERLAP), WINDOW - OVERLAP)]
+    return [doc[i : i + size] for i in range(0, max(1, len(doc) - (size - step)), step)]
 
 
-@lru_cache(8)
+@lru_cache(2)
 def packer(content: bytes) -> zstandard.ZstdCompressor:
-    p = zstandard.ZstdCompressionParameters(compression_level=3, min_match=5, strategy=zstandard.STRATEGY_BTLAZY2, window_log=19, hash_log=18, chain_log=19, search_log=4, target_length=16, write_content_size=0, write_checksum=0, write_dict_id=0)
+    p = zstandard.ZstdCompressionParameters(compression_level=3, min_match=MATCH, strategy=zstandard.STRATEGY_BTLAZY2, window_log=21, hash_log=19, chain_log=21, search_log=5, target_length=16, write_content_size=0, write_checksum=0, write_dict_id=0)
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=p)
     return zstandard.ZstdCompressor(dict_data=d, compression_params=p)
 
 
-def gains(doc: bytes, ordinary: bytes, toxic: bytes) -> np.ndarray:
-    """The bytes by which each window is shorter with the toxic dictionary."""
-    a, b, own = packer(ordinary).compress, packer(toxic).compress, windows(doc)
-    return np.fromiter((len(a(w + PAD)) - len(b(w + PAD)) for w in own), np.int64, len(own))
+def lengths(content: bytes, own: list[bytes]) -> np.ndarray:
+    """The compressed length of each window with a dictionary."""
+    pack = packer(content).compress
+    return np.fromiter((len(pack(w + PAD)) for w in own), np.int64, len(own))
+
+
+def trained(size: int, samples: list[bytes], segment: int) -> bytes:
+    """A dictionary that zstandard trains; of too little text, that text."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=RUN).as_bytes()
+    except zstandard.ZstdError:
+        return b"\xff".join(samples)[-size:]
+
+
+def runs(text: bytes) -> np.ndarray:
+    """The RUN bytes from each place on, as a number."""
+    data = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = max(0, len(data) - RUN + 1)
+    key = np.zeros(n, np.uint64)
+    for i in range(RUN):
+        key = (key << np.uint64(8)) | data[i : i + n]
+    return key
+
+
+def places(key: np.ndarray) -> np.ndarray:
+    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+@lru_cache(1)
+def marks(keys: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted runs, and a table of their places."""
+    own, table_ = np.frombuffer(keys, np.uint64), np.zeros(1 << TABLE_BITS, bool)
+    table_[places(own)] = True
+    return own, table_
 
 
 @dataclass
 class Model:
     ordinary: bytes
     toxic: bytes
-    threshold: int  # the gain that hardly an ordinary window exceeds
-    weights: np.ndarray  # of the features and of 1
-
-    def features(self, doc: bytes) -> tuple[float, ...]:
-        g = gains(doc, self.ordinary, self.toxic)
-        return (float(np.clip(g.max() - self.threshold, -10, 10)) / 5, *(np.log1p(1000 * (g >= k).mean()) / 3 for k in STEPS), np.log1p(g[g >= self.threshold].sum()), 1.0)
+    only_toxic: bytes  # the runs that the toxic dictionary holds and the ordinary one doesn't, sorted
+    evidence: np.ndarray  # of each gain from LOW to HIGH
+    threshold: float  # the sum of evidence from which a document is toxic
+    slope: float  # of the score in that sum
+
+    @classmethod
+    def of(cls, ordinary: bytes, toxic: bytes) -> Model:
+        return cls(ordinary, toxic, np.setdiff1d(runs(toxic), runs(ordinary)).tobytes(), np.zeros(HIGH - LOW + 1), 0.0, 1.0)
+
+    def gains(self, doc: bytes) -> np.ndarray:
+        """Of each distinct window."""
+        at: dict[bytes, int] = {}
+        for i, w in enumerate(windows(doc)):
+            at.setdefault(w, i)
+        start = np.fromiter(at.values(), np.int64, len(at)) * STEP
+        own, table_ = marks(self.only_toxic)
+        key = runs(doc)
+        hit = table_[places(key)]
+        if hit.any():
+            maybe = np.flatnonzero(hit)
+            hit[maybe] = own[np.minimum(np.searchsorted(own, key[maybe]), len(own) - 1)] == key[maybe]
+        count = np.concatenate([[0], np.cumsum(hit)])
+        last = len(count) - 1
+        look = np.flatnonzero(count[np.minimum(start + WINDOW - RUN + 1, last)] > count[np.minimum(start, last)])
+        out = np.zeros(len(at), np.int64)
+        if len(look):
+            found = list(at)
+            found = [found[i] for i in look.tolist()]
+            out[look] = lengths(self.ordinary, found) - lengths(self.toxic, found)
+        return out
+
+    def sum(self, doc: bytes) -> float:
+        return float(self.evidence[np.clip(self.gains(doc), LOW, HIGH) - LOW].sum())
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(np.dot(self.features(normal(text or "")), self.weights), -30, 30))))
+        """CUT where the sum of evidence is the threshold."""
+        above = self.slope * (self.sum(normal(text or "")) - self.threshold)
+        return float(1 / (1 + np.exp(-np.clip(np.log(CUT / (1 - CUT)) + above + 1e-9, -30, 30))))
 
 
 def apart(docs: list[bytes]) -> list[bytes]:
@@ -90,67 +161,44 @@ def apart(docs: list[bytes]) -> list[bytes]:
     return out
 
 
-def stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[list[bytes]]:
-    """The longest runs of each toxic text all of whose grams are RATIO times as frequent in toxic texts, two of which suffice."""
-    grams = lambda t: {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}
-    seen = Counter()
-    for t in toxic:
-        seen.update(grams(t))
-    common = Counter()
-    for t in ordinary:
-        common.update(grams(t) & seen.keys())
-    marks = {g for g, c in seen.items() if c > 1 and c * (len(ordinary) + 1) >= RATIO * (common[g] + DOUBT) * len(toxic)}
-    out = []
-    for t in toxic:
-        own, start = [], None
-        for i in range(len(t) - GRAM + 2):
-            if t[i : i + GRAM] in marks:
-                start = i if start is None else start
-            elif start is not None:
-                own.append(t[start : i + GRAM - 1])
-                start = None
-        out.append(own)
-    return out
-
-
-def dictionary(pieces: list[list[bytes]]) -> bytes:
-    """The pieces, those of most documents last and apart from each other, so that no match goes on from one to the next."""
-    often = Counter(s for own in pieces for s in set(own))
-    return b"\xff".join(sorted(often, key=lambda s: (often[s], s)))[-TOXIC_BYTES:]
-
-
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """The ordinary and the toxic one."""
-    try:
-        base = zstandard.train_dictionary(BASE_BYTES, [w for t in ordinary for w in windows(t)]).as_bytes()
-    except zstandard.ZstdError:  # too little text
-        base = b"".join(ordinary)[:BASE_BYTES]
-    return base, base + b"\xff" + dictionary(stretches(toxic, ordinary)) + b"\xff"
+    """The ordinary and the toxic one: each the common dictionary and that of the class."""
+    base = trained(BASE_BYTES, [w for t in ordinary[::2] for w in windows(t, BASE_WINDOW, BASE_WINDOW)], BASE_SEGMENT) + b"\xff"
+    rest = ordinary[1::2] or ordinary
+    own = {(y, k): [w for t in docs[k::2] for w in windows(t)] for y, docs in ((1, toxic), (0, rest)) for k in (0, 1)}
+    packed = {i: lengths(base, w) for i, w in own.items()}
+    hard_from = np.quantile(np.concatenate([packed[0, 0], packed[0, 1]]), EASY)
+    hard = {i: [w for w, n in zip(own[i], packed[i], strict=True) if n >= hard_from] for i in own}
+    found = []
+    for k in (0, 1):
+        trial = [base + trained(TRIAL_BYTES, hard[y, k], SEGMENT) for y in (0, 1)]
+        calm, gain = (lengths(trial[0], hard[y, 1 - k]) - lengths(trial[1], hard[y, 1 - k]) for y in (0, 1))
+        most = np.sort(calm)[::-1]  # easy windows count as calm
+        at = int((1 - CALM) * len(own[0, 1 - k]))
+        least = max(2, int(most[at]) + 1 if at < len(most) else 2)
+        found += [w for w, g in zip(hard[1, 1 - k], gain, strict=True) if g >= least]
+    size = int(np.clip(sum(map(len, found)) // 8, *OWN_BYTES))
+    return base + trained(CALM_BYTES, hard[0, 0] + hard[0, 1], SEGMENT), base + trained(size, found, SEGMENT)
 
 
 def fit(rows: list[tuple[str, int]]) -> Model | None:
-    """Learn from (text, label): dictionaries, the gain that counts, and weights of a document's features. None without both labels."""
+    """Learn from (text, label): dictionaries from three quarters of the toxic and two thirds of the ordinary documents, thresholds from the others. None without both labels."""
+    rows = sorted(rows, key=lambda r: (zlib.crc32(r[0].encode("utf-8", "replace")), r[0]))  # not by text: like ones would alternate
     toxic, ordinary = (apart([normal(t) for t, y in rows if y == want]) for want in (1, 0))
     if not toxic or not ordinary:
         return None
-    model = Model(*dictionaries(toxic, ordinary), 1, np.zeros(FEATURES))
-    folds = FOLDS if min(len(toxic), len(ordinary)) >= FOLDS else 1
-    parts = [(toxic[k::folds], ordinary[k::folds]) for k in range(folds)]
-    trial = [model] if folds == 1 else [Model(*dictionaries(*([t for j in range(folds) if j != k for t in parts[j][y]] for y in (0, 1))), 1, np.zeros(FEATURES)) for k in range(folds)]
-    calm = np.sort(np.concatenate([gains(t, m.ordinary, m.toxic) for m, (_, own) in zip(trial, parts, strict=True) for t in own]))
-    threshold = max(1, int(calm[min(len(calm) - 1, int((1 - CALM) * len(calm)))]) + 1)
-    for m in (model, *trial):
-        m.threshold = threshold
-    x = np.array([m.features(t) for y in (0, 1) for m, part in zip(trial, parts, strict=True) for t in part[y]])
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
-    w = np.zeros(FEATURES)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + 1e-3 * np.eye(FEATURES), x.T @ (p - y) / len(y) + 1e-3 * w)
-        w -= step
-        if abs(step).max() < 1e-8:
-            break
-    model.weights = w
+    part = lambda docs, k, n: ([t for i, t in enumerate(docs) if i % n < k], [t for i, t in enumerate(docs) if i % n >= k] or docs)
+    (learn, judge), (learn_calm, judge_calm) = part(toxic, 3, 4), part(ordinary, 2, 3)
+    model = Model.of(*dictionaries(learn, learn_calm))
+    counts = [[np.bincount(np.clip(model.gains(t), LOW, HIGH) - LOW, minlength=HIGH - LOW + 1) for t in docs] for docs in (judge_calm, judge)]
+    calm, marked = (sum(c) + 0.5 for c in counts)
+    model.evidence = np.log((marked / marked.sum()) / (calm / calm.sum()))
+    sums = [np.array(c) @ model.evidence for c in counts]
+    slope, _ = logistic(np.clip(np.concatenate(sums), -60, 60), np.repeat([0.0, 1.0], [len(s) for s in sums]))
+    model.slope = max(slope, 1e-3)
+    calm = np.sort(sums[0])[::-1]
+    # At the least the sum that makes a document toxic with probability CUT, labels being as frequent as in the sample.
+    model.threshold = max(float(calm[int(FALSE_ALARMS * len(calm))]) + 1e-6, float(np.log(CUT / (1 - CUT) * len(ordinary) / len(toxic))))
     return model
 
 
@@ -169,9 +217,12 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
 
 
 def rate(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Every row of docs with score and predicted, which replace columns of these names.
+    """Every row of docs with score and predicted, which replace columns of these names; all other columns are kept.
 
-    Only the text is looked at; a null text counts as empty.  Without a model all scores are 0.
+    Only the text is looked at, so that repeated rows and equal texts score alike; a null text
+    counts as empty, and an empty one is a window without gain.  Long texts are scored whole.
+    A score of CUT or more is predicted toxic.  Without a model (no labels, or of one kind
+    only) all scores are 0.  An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
@@ -182,11 +233,14 @@ def rate(docs: DataFrame, model: Model | None) -> DataFrame:
         for b in batches:
             score = [model.score(t) if model else 0.0 for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64()), pa.array([int(s >= CUT) for s in score], pa.int32())], names=[*names, "score", "predicted"])
+        packer.cache_clear()  # the worker may serve other stages next
+        marks.cache_clear()
 
     return docs.mapInArrow(run, schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of all documents, a row for each; learned from rows that aren't held out. See rate for odd rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(sample(docs, table(spark, sf_dir, "labels")))
     return rate(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
