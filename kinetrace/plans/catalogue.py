@@ -6,6 +6,8 @@ intervals from ``orders``, frames from ``embeddings`` (see sources.adapters).
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,11 @@ from ..operators import temporal as T
 from ..operators.events import events, islands, released_with
 from ..operators.observables import condition
 from ..sources.adapters import EVENT_TYPES, RESIDUES, embedding_frames, order_intervals, part_atoms, sampled_events, synthetic_topology
-from .api import Trajectory
+from ..sources.files import filesystem, new_folder
+from ..sources.readers import frames
+from ..sources.topology import Topology
+from ..sources.writers import write_xyz
+from .api import Trajectory, load
 from .language import Observable, parse, walk
 from .planner import check_types
 
@@ -370,6 +376,88 @@ OBSERVED = {
 }
 
 
+# Files.
+
+PDB_LINE = "{:6}{:5d}  {:<3} {:3} {}{:4d}    {:8.3f}{:8.3f}{:8.3f}  1.00  0.00          {:>2}"
+#: Record, serial, name, residue, chain, number, place, element.
+PDB_ATOMS = (
+    ("ATOM", 1, "N", "ARG", "A", 17, 1.0, 0.0, 0.0, "N"), ("ATOM", 2, "CA", "ARG", "A", 17, 2.5, 0.0, 0.0, "C"), ("ATOM", 3, "HB", "ARG", "A", 17, 3.0, 1.0, 0.0, ""),
+    ("ATOM", 4, "CA", "ASP", "B", 42, 4.0, 0.0, 0.5, "C"), ("HETATM", 7, "O", "HOH", "W", 99, 9.0, 9.0, 9.0, "O"),
+)
+BONDS = ("CONECT    1    2", "CONECT    2    1    3    9", "CONECT    4    4    7")
+
+
+def written_file(spark: SparkSession, name: str, text: str, pack=None) -> str:
+    """The path of a new file in a folder that all executors share."""
+    path = f"{new_folder(spark, 'files')}/{name}"
+    fs, own = filesystem(path)
+    with fs.open_output_stream(own, compression=None) as f:
+        f.write(pack(text.encode()) if pack else text.encode())
+    return path
+
+
+def pdb_text(models: int = 0, cell: str = "") -> str:
+    """The atoms once, or as models of which each is moved by one angstrom along z; every second one states a cell."""
+    atoms = lambda k: [PDB_LINE.format(*a[:8], a[8] + k, a[9]) for a in PDB_ATOMS]
+    body = [line for k in range(models) for line in ([cell] * (k % 2 == 0 and bool(cell)) + [f"MODEL     {k + 1:4d}", *atoms(k), "ENDMDL"])] if models else [cell] * bool(cell) + atoms(0)
+    return "\n".join([*body, *BONDS, "END", ""])
+
+
+def loaded(spark: SparkSession, name: str, text: str, step: str = "1ps", pack=None) -> DataFrame:
+    """The frames of a file with that text, of the atoms above: place, time, the coordinates and the cell in thousandths."""
+    t = load(written_file(spark, name, text, pack), topology=written_file(spark, "top.pdb", pdb_text()), default_timestep=step, spark=spark)
+    milli = lambda c: F.array_join(F.transform(c, lambda v: F.round(v * 1000).cast("long")), ",")
+    return t.frames.select("frame_idx", "time_ps", milli("coords").alias("coords"), F.coalesce(milli("cell"), F.lit("")).alias("cell"))
+
+
+def sql_loaded(rows: list[tuple]) -> str:
+    values = ", ".join(f"({i}, {t}::DOUBLE, '{','.join(str(round(100 * v)) for v in xs)}', '{cell}')" for i, t, xs, cell in rows)
+    return f"SELECT i::BIGINT AS frame_idx, t AS time_ps, coords, cell FROM (VALUES {values}) v(i, t, coords, cell)"
+
+
+def moved(k: float) -> list[float]:
+    return [v for a in PDB_ATOMS for v in (a[6], a[7], a[8] + k)]
+
+
+#: Comments of XYZ frames: time and cell as they are to be read (cells in thousandths of a nanometre).
+XYZ_COMMENTS = (
+    ("time=10ps and more", 10, ""), ("time = 0.02ns box=20,21,22A", 20, "2000,0,0,0,2100,0,0,0,2200"), ('time=30000fs Lattice="20 1 0 0 20 0 0 0 20" Properties=species:S:1:pos:R:3', 30, "2000,100,0,0,2000,0,0,0,2000"), ("box=2x3x4nm time=1us", 1000000, "2000,0,0,0,3000,0,0,0,4000"),
+)
+
+
+def xyz_text(comments) -> str:
+    return "".join(f"{len(PDB_ATOMS)}\n{c}\n" + "".join(f"{a[2]} {a[6]} {a[7]} {a[8] + k}\n" for a in PDB_ATOMS) for k, c in enumerate(comments))
+
+
+TRICLINIC_RECORD = "CRYST1   20.000   20.000   20.000  90.00  90.00  60.00 P 1           1"
+FILES = {
+    "src_xyz": (lambda s: loaded(s, "t.xyz", xyz_text([c for c, *_ in XYZ_COMMENTS])), sql_loaded([(k, t, moved(k), cell) for k, (_, t, cell) in enumerate(XYZ_COMMENTS)])),
+    "src_xyz_without_times": (lambda s: loaded(s, "t.xyz", xyz_text(["", "no time here"]), "2.5ps"), sql_loaded([(k, 2.5 * k, moved(k), "") for k in range(2)])),
+    "src_xyz_compressed": (lambda s: loaded(s, "t.xyz.gz", xyz_text(["time=1ps", "time=4ps"]), pack=gzip.compress), sql_loaded([(0, 1, moved(0), ""), (1, 4, moved(1), "")])),
+    "src_pdb_models": (lambda s: loaded(s, "m.pdb", pdb_text(3, TRICLINIC_RECORD), "2ps"), sql_loaded([(k, 2 * k, moved(k), "2000,0,0,1000,1732,0,0,0,2000") for k in range(3)])),
+    "src_pdb_box": (lambda s: loaded(s, "m.pdb", pdb_text(0, "CRYST1   20.000   30.000   40.000  90.00  90.00  90.00 P 1           1")), sql_loaded([(0, 0, moved(0), "2000,0,0,0,3000,0,0,0,4000")])),
+    "src_pdb_unit_cell": (lambda s: loaded(s, "m.pdb", pdb_text(0, "CRYST1    1.000    1.000    1.000  90.00  90.00  90.00 P 1           1")), sql_loaded([(0, 0, moved(0), "")])),
+    "src_pdb_atoms": (
+        lambda s: Topology.from_pdb(written_file(s, "top.pdb", pdb_text())).atoms_frame(s),
+        "SELECT i::BIGINT AS atom_index, name, residue_name, n::INTEGER AS residue_index, chain, element, mass::DOUBLE AS mass_da FROM (VALUES (0, 'N', 'ARG', 17, 'A', 'N', 14.007), (1, 'CA', 'ARG', 17, 'A', 'C', 12.011), (2, 'HB', 'ARG', 17, 'A', 'H', 1.008), (3, 'CA', 'ASP', 42, 'B', 'C', 12.011), (4, 'O', 'HOH', 99, 'W', 'O', 15.999)) v(i, name, residue_name, n, chain, element, mass)",
+    ),
+    "src_pdb_bonds": (lambda s: Topology.from_pdb(written_file(s, "top.pdb", pdb_text())).bonds_frame(s), "SELECT a::BIGINT AS a, b::BIGINT AS b FROM (VALUES (0, 1), (1, 2), (3, 4)) v(a, b)"),
+}
+
+
+def q_written_frames(spark, sf_dir):
+    """All embeddings written as XYZ files and read back."""
+    top = synthetic_topology()
+    folder = new_folder(spark, "xyz")
+    write_xyz(embedding_frames(spark, sf_dir, cell=TRICLINIC), top, folder)
+    found = frames(spark, folder, top)
+    total = F.aggregate("coords", F.lit(0.0), lambda a, v: a + v)
+    return found.select(F.col("time_ps").cast("long").alias("vec_id"), F.size("coords").alias("n"), F.round(F.col("coords")[0], 7).alias("x"), F.round(total, 5).alias("total"), F.round(F.col("cell")[1], 9).alias("cell_ay"))
+
+
+WRITTEN_SQL = "WITH e AS (SELECT vec_id, list_transform(embedding[1:63], lambda v: v::DOUBLE) AS c FROM embeddings) SELECT vec_id, len(c)::INTEGER AS n, round(c[1], 7) AS x, round(list_reduce(list_concat([0.0::DOUBLE], c), lambda a, v: a + v), 5) AS total, 0.1::DOUBLE AS cell_ay FROM e"
+
+
 def orders_sql(rest: str) -> str:
     return f"WITH {SQL_I}, {rest}"
 
@@ -392,6 +480,7 @@ def queries() -> dict:
         "ana_event_graph": lambda s, d: by_customer(A.graph_edges(intervals(s, d), 100.0, tie=("key",))),
         "ana_state_network": q_state_network,
         **{n: q_selection(t) for n, (t, _) in SELECTIONS.items()},
+        **{n: (lambda make: lambda s, d: make(s))(make) for n, (make, _) in FILES.items()}, "src_written_frames": q_written_frames,
         **{n: observed(t) for n, (t, _) in OBSERVED.items()},
         "obs_hbond": observed("HBOND(name N, name O)", "hbond"),
         "obs_sasa": observed("SASA(resid 1) > 2.5nm2", scale=4.0),
@@ -433,6 +522,7 @@ def oracle_sql() -> dict[str, str]:
         "ana_event_graph": orders_sql(f"k AS (SELECT *, row_number() OVER ({ORDER}) - 1 AS id FROM i) SELECT a.cust, a.id AS source, b.id AS target, b.st - a.en AS gap_ps FROM k a JOIN k b ON a.cust = b.cust AND b.id > a.id AND b.st >= a.en AND b.st - a.en <= 100"),
         "ana_state_network": orders_sql(f"{LEADS} SELECT cust, source, target, count(*) AS count FROM n WHERE target IS NOT NULL AND gap <= 20 GROUP BY cust, source, target"),
         **{n: sql_selection(w) for n, (_, w) in SELECTIONS.items()},
+        **{n: sql for n, (_, sql) in FILES.items()}, "src_written_frames": WRITTEN_SQL,
         **{n: q for n, (_, q) in OBSERVED.items()},
         "obs_hbond": sql_frames("value", ctes=SQL_HBOND),
         "obs_sasa": sql_frames("value > 2.5", ctes=SQL_SASA, scale="4.0"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.selection import Atom, resolve
 from ..functions.units import standard_atomic_mass_da
+from .files import filesystem
 
 ATOMS = "atom_index long, name string, residue_name string, residue_index int, chain string, element string, mass_da double"
 _identity = itertools.count(1)
@@ -38,8 +39,9 @@ class Topology:
 
     @classmethod
     def from_pdb(cls, path: str) -> Topology:
-        with open(path) as f:
-            return cls.parse_pdb(f.read().splitlines(), str(path))
+        fs, own = filesystem(str(path))
+        with fs.open_input_stream(own) as f:
+            return cls.parse_pdb(f.read().decode("utf-8", "replace").splitlines(), str(path))
 
     @classmethod
     def parse_pdb(cls, lines: list[str], path: str = "") -> Topology:

@@ -99,6 +99,55 @@ def test_readers(tmp_path, spark):
     assert readers.frames(spark, str(dump), t).first().coords[:4] == [0.1, 0, 0, 0.4]
 
 
+def many_frames(kind, n):
+    """n frames of two atoms whose numbers tell their place; comments and titles look like counts."""
+    out = []
+    for k in range(n):
+        if kind == "xyz":
+            out.append(f"2\n{2 if k % 3 else 'time=' + str(k) + 'ps'}\nC {k} 0 0\n2 {k} 1 1\n" + "\n" * (k % 4 == 1))
+        elif kind == "pdb":
+            cell = f"CRYST1{20 + k:9.3f}{20:9.3f}{20:9.3f}  90.00  90.00  90.00 P 1           1\n" if k % 5 == 0 else ""
+            out.append(cell + f"MODEL {k:8d}\n" + "".join(PDB_ATOM.format("ATOM", i, "CA", "ARG", "A", i, k, i, 0, "C") + "\n" for i in (1, 2)) + "ENDMDL\n")
+        elif kind == "gro":
+            out.append(f"2\n2\n" + "".join(f"{1:5d}{'ARG':<5}{'CA':>5}{i:5d}{k:8.3f}{i:8.3f}{0:8.3f}\n" for i in (1, 2)) + "   2.0   2.0   2.0\n")
+        else:
+            out.append(f"ITEM: TIMESTEP\n{k}\nITEM: NUMBER OF ATOMS\n2\nITEM: ATOMS id x y z\n1 {k} 0 0\n2 {k} 1 1\n")
+    return "".join(out) + "END\n" * (kind == "pdb")
+
+
+@pytest.mark.parametrize("kind", ["xyz", "pdb", "gro", "lammpstrj"])
+def test_ranges_of_bytes_give_the_same_frames(tmp_path, spark, kind):
+    path = tmp_path / f"many.{kind}"
+    path.write_text(many_frames(kind, 40))
+    t = Topology.of([Atom(0, "CA", "ARG", 1, "A", "C"), Atom(1, "CA", "ARG", 2, "A", "C")])
+    whole = readers.frames(spark, str(path), t).orderBy("frame_idx").collect()
+    assert [r.frame_idx for r in whole] == list(range(40)) and [round(r.coords[0] * (1 if kind == "gro" else 10)) for r in whole] == list(range(40))
+    if kind == "pdb":
+        assert [round(r.cell[0] * 10) for r in whole] == [20 + 5 * (k // 5) for k in range(40)]
+    for size in (97, 400, 700):
+        cut = readers.frames(spark, str(path), t, run_bytes=size)
+        assert cut.rdd.getNumPartitions() > 1 and cut.orderBy("frame_idx").collect() == whole
+
+
+def test_plans_read_no_file(tmp_path, spark, monkeypatch):
+    """Runs are made of what tasks report; damage inside a range is met by the run before it."""
+    path = tmp_path / "many.xyz"
+    text = many_frames("xyz", 40)
+    path.write_text(text.replace("C 20 0 0", "C 20 0"))
+    t = Topology.of([Atom(0, "CA", "ARG", 1, "A", "C"), Atom(1, "CA", "ARG", 2, "A", "C")])
+    df = readers.frames(spark, str(path), t, run_bytes=200)
+    with pytest.raises(Exception, match="Malformed XYZ coordinate"):
+        df.collect()
+
+    def refuse(*_):
+        raise AssertionError("the driver reads a file")
+
+    monkeypatch.setattr(readers, "opened", refuse)
+    options = {"path": str(path), "atoms": "2", "step": "1.0"}
+    assert len(readers.FramesReader(options).partitions()) == 1
+    assert len(readers.planned_runs(spark, [(str(path), 100)], 2, 200)) == 1
+
+
 @pytest.mark.parametrize(("name", "text", "message"), [
     ("a.xyz", "3\n\nC 0 0 0\n", "XYZ frame has 3 atoms"), ("a.xyz", "2\n\nC 0 0 0\n", "Truncated XYZ frame"), ("a.xyz", "x\n", "Malformed XYZ atom count"), ("a.xyz", "2\n\nC 0 0\nC 0 0 0\n", "Malformed XYZ coordinate"),
     ("a.xyz", '2\nLattice="1 2"\nC 0 0 0\nC 0 0 0\n', "Malformed extended XYZ Lattice"), ("a.xyz", "2\nbox=1,2\nC 0 0 0\nC 0 0 0\n", "Malformed XYZ box"), ("a.pdb", "MODEL        1\n", "MODEL is missing ENDMDL"), ("a.xtc", "", "requires an optional backend"), ("a.foo", "", "Unsupported trajectory format"),
