@@ -21,7 +21,7 @@ triangle inequality keeps apart.  Each pair is verified on whole sets.
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import reduce
 from itertools import chain
 from operator import and_
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, fresh, small_batches, stash, stash_by, table
+from .common import components, discard, fresh, held, key_filter, maybe_held, named, names_of, small_batches, stash, stash_by, table
 
 WORDS, PERCENT = 5, 75
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
@@ -41,8 +41,8 @@ HUBS = (1, 16)
 ROUNDS = len(HUBS)
 #: Members of an open list to which distances are measured before its other pairs are.
 REFERENCES = 3
-#: A bitmap of the classes that have candidates; other documents' sets aren't dealt out.
-WANTED_BITS = 25
+#: Width of the bands of distances that pairs of an open list are looked for in, a little over the length of a link.
+BAND = 1 - PERCENT / 100 + 4e-9
 #: All pairs of a list of so many classes are candidates; longer lists go by hubs.
 SHORT_LIST = 16
 PAIRING = np.uint64(0x9E3779B97F4A7C15)
@@ -95,16 +95,20 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def surveyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """One pass over all texts: (doc_id, c1, c2, n_shingles) for each row, and a sketch of the corpus.
+    """One pass over all texts: (doc_id, h, c1, c2, n_shingles) for each row, and a sketch of the corpus. h: the hash of the text.
 
     The sketch has the counts of all shingles by hash, one byte each on a logarithmic scale
     (8 steps a doubling).  Its size is fixed: 2**20 counters, summed over blocks before they
     reach the driver.
     """
     size = 1 << SKETCH_BITS
-    names = ["block", "counts", "doc_id", "c1", "c2", "n_shingles"]
-    types = [pa.int64(), pa.binary(), *[pa.int64()] * 4]
+    names = ["block", "counts", "doc_id", "h", "c1", "c2", "n_shingles"]
+    types = [pa.int64(), pa.binary(), *[pa.int64()] * 5]
 
     def run(batches):
         total, seen = np.zeros(size, np.int64), False
@@ -115,10 +119,10 @@ def surveyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 seen = True
             d = [digest(s) for s in own]
             none = [None] * len(own)
-            cols = [none, none, b.column(0), [x[0] for x in d], [x[1] for x in d], [len(s) for s in own]]
+            cols = [none, none, b.column(0), b.column(2), [x[0] for x in d], [x[1] for x in d], [len(s) for s in own]]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
         for i in range(0, size if seen else 0, SKETCH_BLOCK):
-            cols = [[i // SKETCH_BLOCK], [total[i : i + SKETCH_BLOCK].astype("<u4").tobytes()], [None], [None], [None], [None]]
+            cols = [[i // SKETCH_BLOCK], [total[i : i + SKETCH_BLOCK].astype("<u4").tobytes()], *[[None]] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     def summed(batches):
@@ -138,12 +142,12 @@ def surveyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         if at is not None:
             yield done()
 
-    found = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, counts binary, doc_id long, c1 long, c2 long, n_shingles long"), "survey", "zstd")
+    found = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("h")).mapInArrow(run, "block long, counts binary, doc_id long, h long, c1 long, c2 long, n_shingles long"), "survey", "zstd")
     parts = found.where("block IS NOT NULL").select("block", "counts")
     out = np.zeros(size, np.uint8)
     for r in parts.repartition(size // SKETCH_BLOCK, "block").sortWithinPartitions("block").mapInArrow(summed, "block long, counts binary").collect():
         out[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(bytes(r.counts), np.uint8)
-    return found.where("block IS NULL").select("doc_id", "c1", "c2", "n_shingles"), out
+    return found.where("block IS NULL").select("doc_id", "h", "c1", "c2", "n_shingles"), out
 
 
 def first(n: int, k: int) -> int:
@@ -196,7 +200,7 @@ def may_link(n, m, r, q):
     return (100 + PERCENT) * np.minimum(r, q) >= PERCENT * (n + m)
 
 
-def listed(docs: DataFrame, counts: np.ndarray, boundary: int) -> DataFrame:
+def listed(docs: DataFrame, counts: np.ndarray, boundary: int, renamed: dict[tuple[int, int], int]) -> DataFrame:
     """What the lists hold: pairs (key, c, n, r, d, m) of short lists, and entries (key, c, n, r) of long ones.
 
     r of a pair is 1 if it may link with the key as the first it shares, else 0.
@@ -219,7 +223,7 @@ def listed(docs: DataFrame, counts: np.ndarray, boundary: int) -> DataFrame:
                     continue
                 met.add(d)
                 k, r = keys_of(s, counts, boundary)
-                for c, v in zip(cols, (k.view(np.int64), np.full(len(k), d[0]), np.full(len(k), len(s), np.int32), r), strict=True):
+                for c, v in zip(cols, (k.view(np.int64), np.full(len(k), renamed.get(d, d[0])), np.full(len(k), len(s), np.int32), r), strict=True):
                     c.append(v)
                 held += len(k)
                 if held > 50_000:
@@ -297,52 +301,20 @@ def short_pairs(found: DataFrame, lists: DataFrame) -> DataFrame:
     return pairs.where(enough | (F.col("subset") == 1)).select("a", "b").union(spared.select("a", "b").distinct())
 
 
-@lru_cache(1)
-def _bits(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8)
-
-
-def wanted_bitmap(ids: DataFrame) -> bytes:
-    """A bitmap of fixed size (4 MB) over the low bits of the ids in column c; each of its 64 blocks is made in one task."""
-    size = 1 << WANTED_BITS
-    block = size // 64
-
-    def mark(batches):
-        at: dict[int, np.ndarray] = {}
-        for b in batches:
-            h = b.column(0).to_numpy() & (size - 1)
-            for k in np.unique(h // block).tolist():
-                at.setdefault(k, np.zeros(block, bool))[h[h // block == k] % block] = True
-        for k, bits in at.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["block", "bits"])
-
-    low = F.col("c").bitwiseAND(size - 1)
-    rows = ids.select("c").distinct().repartition(64, F.floor(low / block)).mapInArrow(mark, "block long, bits binary")
-    out = np.zeros(size // 8, np.uint8)
-    for r in rows.collect():
-        lo = r.block * block // 8
-        out[lo : lo + block // 8] |= np.frombuffer(bytes(r.bits), np.uint8)
-    return out.tobytes()
-
-
-def sets_of(docs: DataFrame, bitmap: bytes) -> DataFrame:
-    """(c, s): the sets of the classes that the bitmap holds (and a few more), by task one row for each class."""
-    mask = (1 << WANTED_BITS) - 1
+def sets_of(docs: DataFrame, wanted: bytes, renamed: dict[tuple[int, int], int]) -> DataFrame:
+    """(c, s): the sets of the classes that the filter holds (and a few more), by task one row for each class."""
 
     def run(batches):
-        bits, met = _bits(bitmap), set()
+        met = set()
         for b in batches:
+            own = [s for s in shingle_sets(b.column(0).to_pylist()) if len(s) >= 3]
+            named_ = [renamed.get(d, d[0]) for d in map(digest, own)]
             ids, sets = [], []
-            for s in shingle_sets(b.column(0).to_pylist()):
-                if len(s) < 3:
-                    continue
-                c = digest(s)[0]
-                h = c & mask
-                if c in met or not bits[h >> 3] >> (7 - (h & 7)) & 1:
-                    continue
-                met.add(c)
-                ids.append(c)
-                sets.append(s.view(np.int64))
+            for c, s, good in zip(named_, own, held(wanted, np.array(named_, np.int64)), strict=True):
+                if good and c not in met:
+                    met.add(c)
+                    ids.append(c)
+                    sets.append(s.view(np.int64))
             if ids:
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["c", "s"])
@@ -350,17 +322,24 @@ def sets_of(docs: DataFrame, bitmap: bytes) -> DataFrame:
     return docs.select("text").mapInArrow(run, "c long, s array<long>")
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, union) of pairs (a, b); sets lie in buckets of c and aren't dealt out again."""
-    left = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
+def measured(pairs: DataFrame, sets: DataFrame, hubs: bool = False) -> DataFrame:
+    """(a, b, common, union) of pairs (a, b); sets lie in buckets of c and aren't dealt out again.
+
+    hubs: few classes b stand in many pairs. Their sets are dealt anew together with the
+    pairs, so that AQE may split the pairs of one hub.
+    """
+    theirs = sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
+    if hubs:
+        theirs = fresh(theirs.join(pairs.select("b").distinct(), "b", "left_semi"))
+    left = pairs.join(theirs, "b")
+    both = left.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
     both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
     return both.select("a", "b", "common", (F.col("total") - F.col("common")).alias("union"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, hubs: bool = False) -> DataFrame:
     """The pairs (a, b) of which 100 * intersection >= 75 * union."""
-    return measured(pairs, sets).where(100 * F.col("common") >= PERCENT * F.col("union")).select("a", "b")
+    return measured(pairs, sets, hubs).where(100 * F.col("common") >= PERCENT * F.col("union")).select("a", "b")
 
 
 def placed(entries: DataFrame, sets: DataFrame) -> DataFrame:
@@ -372,25 +351,47 @@ def placed(entries: DataFrame, sets: DataFrame) -> DataFrame:
     marks = entries.groupBy("key").agg(F.array(*[F.min_by("c", F.xxhash64(F.lit(-1 - i), "c")) for i in range(REFERENCES)]).alias("marks"))
     entries = stash(entries.join(fresh(marks), "key"), "marked")
     wanted = entries.select(F.col("c").alias("a"), F.explode("marks").alias("b")).distinct()
-    d = measured(wanted, sets).select(F.col("a").alias("c"), F.struct(F.col("b").alias("mark"), (1 - F.col("common") / F.col("union")).alias("d")).alias("x"))
+    d = measured(wanted, sets, True).select(F.col("a").alias("c"), F.struct(F.col("b").alias("mark"), (1 - F.col("common") / F.col("union")).alias("d")).alias("x"))
     # At most REFERENCES marks for each list that a class is in.
     d = d.groupBy("c").agg(F.map_from_entries(F.collect_list("x")).alias("distance"))
     out = entries.join(fresh(d), "c")
-    return stash(out.select("key", "c", "n", "r", "comp", *[F.element_at("distance", F.col("marks")[i]).alias(f"d{i}") for i in range(REFERENCES)]), "placed")
+    out = stash(out.select("key", "c", "n", "r", "comp", *[F.element_at("distance", F.col("marks")[i]).alias(f"d{i}") for i in range(REFERENCES)]), "placed")
+    discard(entries)
+    return out
 
 
-def link_classes(docs: DataFrame, own: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(c, comp): components of classes (by the first half of their digests); classes without links may be missing."""
+def open_pairs(left: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes of one list, not of one component, that may link.
+
+    Both sides are dealt by list and band of distances to its first mark; pairs are looked for
+    in one band and the next: others are too far apart, and no list is compared as a whole.
+    """
+    # A pair is met at the first open key that both have, in the order of all shingles: there r is largest.
+    own_keys = left.groupBy("c").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("r")).alias("at"), "key"))), lambda x: x["key"]).alias("keys"))
+    left = left.join(fresh(own_keys), "c").withColumn("band", F.floor(F.col("d0") / BAND))
+    marks = [f"d{i}" for i in range(REFERENCES)]
+    other = left.select("key", F.col("c").alias("d"), F.col("comp").alias("dcomp"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("keys").alias("other_keys"), "band", *[F.col(x).alias(f"e{x}") for x in marks])
+    other = other.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("step"))
+    near = reduce(and_, [F.abs(F.col(x) - F.col(f"e{x}")) <= 1 - PERCENT / 100 + 1e-9 for x in marks])
+    pairs = left.join(other, ["key", "band"]).where((F.col("step") == 1) | (F.col("c") < F.col("d")))
+    pairs = pairs.where((F.col("comp") != F.col("dcomp")) & linkable("n", "m", "r", "q") & near & (F.get(F.array_intersect("keys", "other_keys"), F.lit(0)) == F.col("key")))
+    return pairs.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
+
+
+def link_classes(docs: DataFrame, own: DataFrame, counts: np.ndarray, renamed: dict[tuple[int, int], int]) -> DataFrame:
+    """(c, comp): components of classes, by their names; classes without links may be missing."""
     spark = docs.sparkSession
     step = F.pow(F.lit(2), F.floor(F.log2("n_shingles")) - 2)
-    sizes = own.where("n_shingles > 0").groupBy((F.floor(F.col("n_shingles") / step) * step).cast("long").alias("n")).agg(F.countDistinct("c1").alias("m")).collect()
-    found = stash(listed(docs, counts, choose_boundary({r.n: r.m for r in sizes}, counts)), "lists", "zstd")
+    sizes = own.where("n_shingles > 0").groupBy((F.floor(F.col("n_shingles") / step) * step).cast("long").alias("n")).agg(F.countDistinct("c").alias("m")).collect()
+    found = stash(listed(docs, counts, choose_boundary({r.n: r.m for r in sizes}, counts), renamed), "lists", "zstd")
     lists = found.where("d IS NULL").select("key", "c", "n", "r")
     short = stash(short_pairs(found, lists), "short-pairs")
-    ids = short.select(F.col("a").alias("c")).union(short.select(F.col("b").alias("c"))).union(lists.select("c"))
+    ids = short.select(F.col("a").alias("c")).union(short.select(F.col("b").alias("c"))).union(lists.select("c")).distinct()
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sets = stash_by(sets_of(docs, wanted_bitmap(ids)).repartition(parts, "c").dropDuplicates(["c"]), "c", "sets")
+    # Documents without candidates aren't dealt out.
+    sets = stash_by(sets_of(docs, key_filter(ids, ids.count()), renamed).repartition(parts, "c").dropDuplicates(["c"]), "c", "sets")
     links = labels = tried = None
+    stored = [found, short, sets]
     for turn in range(ROUNDS + 1):
         if labels is None:
             now = lists.withColumn("comp", F.col("c"))
@@ -399,32 +400,34 @@ def link_classes(docs: DataFrame, own: DataFrame, counts: np.ndarray) -> DataFra
         hub = [F.min_by(F.struct("c", "comp", "n", "r"), F.xxhash64(F.lit(turn * 100 + i), "c")) for i in range(HUBS[min(turn, ROUNDS - 1)])]
         hubs = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*hub)).alias("hubs")).where("lo < hi")
         hubs = stash(hubs.select("key", F.explode("hubs").alias("hub")), "hubs")
+        stored.append(hubs)
         if turn and not hubs.head(1):  # no list has classes of two components
             break
         if turn < ROUNDS:
-            pairs = now.join(fresh(hubs), "key").where((F.col("comp") != F.col("hub.comp")) & linkable("n", "hub.n", "r", "hub.r")).select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b"))
-            pairs = pairs.union(short) if turn == 0 else pairs
+            pairs = now.join(fresh(hubs), "key").where((F.col("comp") != F.col("hub.comp")) & linkable("n", "hub.n", "r", "hub.r")).select(F.col("c").alias("a"), F.col("hub.c").alias("b"))
         else:
-            left = placed(stash(now.join(fresh(hubs.select("key").distinct()), "key"), "open"), sets)
-            # A pair is met at the first open key that both have, in the order of all shingles: there r is largest.
-            own_keys = left.groupBy("c").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("r")).alias("at"), "key"))), lambda x: x["key"]).alias("keys"))
-            left = left.join(fresh(own_keys), "c")
-            marks = [f"d{i}" for i in range(REFERENCES)]
-            other = left.select("key", F.col("c").alias("d"), F.col("comp").alias("dcomp"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("keys").alias("other_keys"), *[F.col(x).alias(f"e{x}") for x in marks])
-            near = reduce(and_, [F.abs(F.col(x) - F.col(f"e{x}")) <= 1 - PERCENT / 100 + 1e-9 for x in marks])
-            pairs = left.join(fresh(other), "key").where((F.col("c") < F.col("d")) & (F.col("comp") != F.col("dcomp")) & linkable("n", "m", "r", "q") & near & (F.get(F.array_intersect("keys", "other_keys"), F.lit(0)) == F.col("key"))).select(F.col("c").alias("a"), F.col("d").alias("b"))
+            open_ = stash(now.join(fresh(hubs.select("key").distinct()), "key"), "open")
+            left = placed(open_, sets)
+            pairs = open_pairs(left)
+            stored += [open_, left]
         pairs = pairs.distinct()
         if tried is not None:
-            pairs = pairs.join(fresh(tried), ["a", "b"], "left_anti")
+            ordered = tried.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+            pairs = pairs.join(fresh(ordered), (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti")
         pairs = stash(pairs, "pairs")
-        good = stash(verified(pairs, sets), "links")
-        tried = pairs if tried is None else tried.union(pairs)
+        good = verified(pairs, sets, True)
+        good = stash(good.union(verified(short, sets)) if turn == 0 else good, "links")
+        stored += [pairs, good]
+        tried = pairs.union(short) if tried is None else tried.union(pairs)
         if good.head(1):
             links = good if links is None else links.union(good)
-            labels = stash(components(links), "labels")
+            before, labels = labels, stash(components(links), "labels")
+            stored.append(before)
+    discard(*stored)
     if labels is None:
         return spark.createDataFrame([], "c long, comp long")
-    return labels.select(F.col("id").alias("c"), "comp")
+    out = labels.select(F.col("id").alias("c"), "comp")
+    return out
 
 
 def linkable(n: str, m: str, r: str, q: str):
@@ -432,27 +435,75 @@ def linkable(n: str, m: str, r: str, q: str):
     return (100 + PERCENT) * F.least(r, q) >= PERCENT * (F.col(n) + F.col(m))
 
 
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, c, n_shingles) of all rows, c the name of their set's class; and (c, comp), components of classes by links."""
+    small_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    own, counts = surveyed(docs)
+    renamed = names_of(own.where("n_shingles > 0"), "c1", "c2")
+    own = own.select("doc_id", "h", named(renamed, "c1", "c2").alias("c"), "n_shingles")
+    return own, link_classes(docs, own, counts, renamed)
+
+
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row of docs.
 
     Two documents link when 100 * intersection >= 75 * union of their sets; component_id is the
     smallest doc_id reachable by links, itself included.  A null or blank text has an empty set
-    and links with nothing.  Repeated rows with one id get that id's component.  Rows without an
-    id take part and get their component's smallest id, null if there is none.
+    and links with nothing.  Rows that repeat an id are one document: they share a component,
+    to which the links of all their texts lead; n_shingles is each row's own.  Rows without an
+    id take part and get their component's smallest id, null if there is none.  Texts of any
+    length are taken whole, an empty table gives no rows, other columns are left out.
     """
-    small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    own, counts = surveyed(docs)
-    labels = link_classes(docs, own, counts)
-    reps = own.where("n_shingles > 0").groupBy(F.col("c1").alias("c")).agg(F.min("doc_id").alias("rep"))
+    own, labels = classes(docs)
+    reps = own.where("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("rep"))
     tagged = stash(reps.join(fresh(labels), "c", "left").withColumn("comp", F.coalesce("comp", "c")), "reps")
+    repeated = bool(own.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").head(1))
+    if repeated:
+        spread = stash(own.where("doc_id IS NOT NULL AND n_shingles > 0").join(tagged.select("c", "comp"), "c").select("doc_id", "comp").distinct(), "spread")
+        several = spread.groupBy("doc_id").agg(F.min("comp").alias("a"), F.max("comp").alias("last")).where("a < last").select("doc_id", "a")
+        joined = components(spread.join(fresh(several), "doc_id").select("a", F.col("comp").alias("b"))).select(F.col("id").alias("comp"), F.col("comp").alias("whole"))
+        tagged = tagged.join(fresh(joined), "comp", "left").select("c", "rep", F.coalesce("whole", "comp").alias("comp"))
     least = tagged.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    known = stash(tagged.join(fresh(least), "comp").select("c", "component_id"), "known")
-    out = own.join(known, (own["c1"] == known["c"]) & (own["n_shingles"] > 0), "left")
+    known = stash(tagged.join(fresh(least), "comp").select(F.col("c").alias("known"), "component_id"), "known")
+    out = own.join(known, (own["c"] == known["known"]) & (own["n_shingles"] > 0), "left").select("doc_id", "n_shingles", "component_id")
+    if repeated:  # a blank text of an id that has others
+        of = out.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("id_component"))
+        out = out.join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "id_component").alias("component_id"))
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """docs without near copies: of all rows whose texts are joined by links, that of the smallest doc_id stays.
+
+    Each text of a repeated id counts on its own (of rows alike in id and component, that of
+    the least hash of its text stays); rows alike in id and text are one.  A null or blank text
+    links with nothing and stays.  Rows without an id come after all others.  Columns and their
+    names are as in docs.  Only rows that a filter of those to go may hold are dealt out.
+    """
+    own, labels = classes(docs)
+    rows = stash(own.where("n_shingles > 0").join(fresh(labels), "c", "left").select(F.coalesce("comp", "c").alias("comp"), F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h").alias("row")), "rows")
+    groups = rows.groupBy("comp").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("comp", "first")
+    gone = rows.join(fresh(groups), "comp").where("row <> first").select("row.doc_id", "row.h", F.lit(False).alias("once"))
+    twice = own.where("n_shingles > 0 OR doc_id IS NOT NULL").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "h", F.lit(True).alias("once"))
+    marked = gone.union(twice).groupBy("doc_id", "h").agg(F.min("once").alias("once"))
+    marked = stash(marked.select(F.xxhash64("doc_id", "h").alias("key"), F.col("doc_id").alias("marked_id"), "once"), "marked")
+    n = marked.count()
+    if not n:
+        return docs
+    # Names of our own that no input column has.
+    key, hit, once, id_ = (next(f"{x}{i}" for i in range(len(docs.columns) + 1) if f"{x}{i}" not in docs.columns) for x in ("key", "hit", "once", "marked_id"))
+    marked = marked.toDF(key, id_, once)
+    here = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), text_hash()))
+    here = here.withColumn(hit, maybe_held(key_filter(marked.select(key), n), F.col(key)))
+    dealt = here.where(F.col(hit))
+    both = dealt.join(marked.hint("merge"), (dealt[key] == marked[key]) & dealt["doc_id"].cast("long").eqNullSafe(marked[id_]), "left").select(*[dealt[c] for c in docs.columns], dealt[key].alias(key), once)
+    kept = here.where(~F.col(hit)).select(*docs.columns).union(both.where(F.col(once).isNull()).select(*docs.columns))
+    return kept.union(both.where(F.col(once)).dropDuplicates([key, "doc_id"]).select(*docs.columns))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of all documents. See join_documents for odd rows."""
     return join_documents(table(spark, sf_dir, "documents"))
 
 
