@@ -39,17 +39,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays.
-
-    Repeated rows count as one document.  Rows without an id stay if they link with no row that has one.
-    """
-    found = stash(jaccard.join_documents(docs), "components")
-    repeated = bool(found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").head(1))
-    keep = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(keep.select(F.col("doc_id").alias("__keep_id")), F.col("doc_id").eqNullSafe(F.col("__keep_id")), "left_semi")
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns)
+    """Of each group of near copies the row with the smallest doc_id stays; see jaccard.drop_copies."""
+    return jaccard.drop_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
