@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from .common import excerpt, held_out, small_batches, table
 
 ORDERS, BUCKETS = (1, 2, 3, 4), 1 << 16
-#: The training sample: about so many documents of each language; of longer ones than so many code points an excerpt.
-TRAIN_DOCS, TRAIN_CHARS = 400, 20_000
+#: The training sample: about so many documents of each language; of longer ones than so many code points an excerpt; the most languages, those of most documents.
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_LANGS = 400, 20_000, 200
 #: A document is ambiguous if the losses of the two nearest codewords differ by less than this share of all weights.
 AMBIGUOUS = 0.02
 CHUNK = 1 << 18
@@ -124,7 +124,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     def weights(own: list[int]) -> np.ndarray:
         counts = np.full((len(langs), BUCKETS), 0.05)
         for i in own:
-            for g in grams(np.frombuffer(rows[i][0][: 4 * TRAIN_CHARS], np.uint8)):
+            for g in grams(np.frombuffer(rows[i][0], np.uint8)):
                 counts[label[i]] += np.bincount(g, minlength=BUCKETS)
         share = counts / counts.sum(1, keepdims=True)
         one = np.array([np.log(share[code[:, b] == 1].mean(0)) - np.log(share[code[:, b] == 0].mean(0)) for b in range(bits)])
@@ -161,19 +161,22 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[float
 def sample(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> list[tuple[str, str]]:
     """About per_lang (text, lang) for each language, from rows that are not held out: those of the least hashes of doc_id."""
     own = docs.where(~held_out("doc_id", 4, 2) & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("doc_id").isNotNull())
-    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_LANGS).collect()}
     if not counts:
         return []
     part = 1 << 30
-    limit = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(part, part * per_lang // n))) for lang, n in sorted(counts.items())])
+    limit = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(part, part * per_lang // n))) for lang, n in sorted(counts.items())], F.lit(0))
     rows = own.where((F.pmod(F.xxhash64("doc_id"), F.lit(part)) < limit) & F.col("text").isNotNull())
     return sorted((r.text, r.lang) for r in rows.select(excerpt("text", TRAIN_CHARS).alias("text"), "lang").collect())
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row of docs with lang_pred, score and ambiguous, which replace columns of these names.
+    """Every row of docs with lang_pred, score and ambiguous, which replace columns of these names; all other columns are kept.
 
-    Only the text is looked at.  A text that is null or has no letter is ``und`` with score 0.
+    Only the text is looked at, so that repeated rows and equal texts get equal results.  A text
+    that is null or has no letter is ``und`` with score 0.  Of equal losses the first language
+    in alphabetical order wins, and the text is ambiguous.  Long texts are judged whole.  An
+    empty table gives no rows; without any training rows all is ``und``.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "ambiguous")
@@ -189,6 +192,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, ambiguous of all documents, a row for each; learned from rows that aren't held out. See identify for odd rows."""
     docs = table(spark, sf_dir, "documents")
     model = fit(sample(docs.select("doc_id", "text", "lang")))
     found = identify(docs.select("doc_id", "text"), model)
