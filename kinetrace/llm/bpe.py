@@ -252,7 +252,8 @@ def bpe_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit), decoded, for every row of docs.
 
     A null text is encoded as an empty one.  Special tokens in a text get their ids.  Repeated
-    rows give repeated results.  The vocabulary is read from path on each executor.
+    rows give repeated results.  Texts of any length are encoded whole.  Other columns are left
+    out, an empty table gives no rows.  The vocabulary is read from path on each executor.
     """
     small_batches(docs.sparkSession)
 
@@ -282,4 +283,5 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded text of all documents. See bpe_documents for odd rows."""
     return digest_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))

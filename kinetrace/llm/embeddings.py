@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, fresh, small_batches, stash, table
+from .common import components, discard, fresh, named, names_of, small_batches, stash, table
 
 COSINE = 0.95
 #: Independent rotations with a product code each, at the least; filters of one that a vector falls into on average; vectors at random that one filter gets.
@@ -205,7 +205,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     the numbers of vectors and dimensions, and fewer of closer ones.  n_links counts the other rows linked directly, equal vectors
     among them; component_id is the smallest vec_id reachable by links.  Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing; so do vectors of
-    different length.  A row without an id gets null for component_id and kept where it links
+    different length.  Repeated rows are rows of their own and link with each other.  Other columns
+    are left out, an empty table gives no rows.  A row without an id gets null for component_id and kept where it links
     with no row that has one.
     """
     spark = vectors.sparkSession
@@ -220,9 +221,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     v = stash(v.mapInArrow(hashed, "vec_id long, h1 long, h2 long, good boolean, embedding array<double>"), "vectors")
-    # Equal directions are one class, named by the first half of the digest; copies are counted before anything is dealt out.
+    # Equal directions are one class, by a digest of 128 bits; copies are counted before anything is dealt out.
     classes = v.where("good").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
     classes = stash(classes, "classes")
+    name = named(names_of(classes, "h1", "h2"), "h1", "h2")
+    classes = classes.withColumn("c", name)
     plans, first = {}, 0
     for r in classes.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect():
         plans[r.dim] = plan(r.n, r.dim, cosine), first
@@ -238,7 +241,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                     found[i] = f
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64())), pa.array(found, pa.list_(pa.int64()))], names=["c", "copies", "x", "filters"])
 
-    decoded = stash(classes.select(F.col("h1").alias("c"), "copies", "embedding").mapInArrow(filters, "c long, copies long, x array<double>, filters array<long>"), "filters")
+    decoded = stash(classes.select("c", "copies", "embedding").mapInArrow(filters, "c long, copies long, x array<double>, filters array<long>"), "filters")
     light = decoded.select("c", F.explode("filters").alias("filter"))
     sizes = light.groupBy("filter").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     placed = light.join(fresh(sizes), "filter").withColumn("parts", F.ceil(F.col("m") / PART).cast("int"))
@@ -284,16 +287,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     found = stash(whole.mapInArrow(compare, "c long, d long, linked long"), "links")
     totals = found.groupBy("c").agg(F.sum("linked").alias("linked"))
     labels = components(found.where("d is not null"), "c", "d")
-    state = classes.select(F.col("h1").alias("c"), "rep", "copies").join(totals, "c", "left").join(fresh(labels.withColumnRenamed("id", "c")), "c", "left")
+    state = classes.select("c", "rep", "copies").join(totals, "c", "left").join(fresh(labels.withColumnRenamed("id", "c")), "c", "left")
     state = stash(state.select("c", "rep", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("comp", "c").alias("comp")), "state")
     least = state.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    known = stash(state.join(fresh(least), "comp").select(F.col("c").alias("h1"), "n_links", "component_id", F.lit(True).alias("good")), "known")
-    out = v.select("vec_id", "h1", "good").join(known, ["h1", "good"], "left")
+    known = stash(state.join(fresh(least), "comp").select("c", "n_links", "component_id", F.lit(True).alias("good")), "known")
+    discard(decoded, found)
+    out = v.select("vec_id", name.alias("c"), "good").join(known, ["c", "good"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of all embeddings. See near_duplicates for odd rows."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 

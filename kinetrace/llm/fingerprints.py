@@ -22,7 +22,8 @@ def sketch(text: Column, words: int = WORDS, keep_one_in: int = KEEP_ONE_IN) ->
 
     With fewer words than a shingle has, the whole sequence is the one shingle.  The smallest
     hash of a text that has words is retained in any case, so that no such sketch is empty.
-    Sketches merge by union (then the smallest over the fraction goes, if there is another).
+    merge makes the sketch of two texts' shingles together.  A hash that unrelated shingles share
+    counts as common: one in 2**32 pairs of them.
     """
     limit = -(1 << 31) + (1 << 32) // keep_one_in
     hashes = F.transform(F.filter(F.split(F.lower(text), SPLIT, -1), lambda w: w != ""), lambda w: F.xxhash64(w))
@@ -40,6 +41,17 @@ def sketch(text: Column, words: int = WORDS, keep_one_in: int = KEEP_ONE_IN) ->
     return let(let(hashes, shingles), retained)
 
 
+def merge(a: Column, b: Column, keep_one_in: int = KEEP_ONE_IN) -> Column:
+    """The sketch of all shingles that either sketch stands for; null with a null one."""
+    limit = -(1 << 31) + (1 << 32) // keep_one_in
+
+    def retained(s: Column) -> Column:
+        below = F.filter(s, lambda x: x < limit)
+        return F.when(F.size(s) == 0, s).when(F.size(below) > 0, below).otherwise(F.array(F.array_min(s)))
+
+    return let(F.array_sort(F.array_union(a, b)), retained)
+
+
 def likeness(a: Column, b: Column) -> Column:
     """The share of two sketches' hashes that both have; 1 if both are empty."""
     common, both = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
@@ -83,7 +95,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     first as many (or all) of the next document in descending doc_id, after the last the first.
     A null text counts as empty.  Rows that repeat both id and text count as one document and
     give that document's row each; different texts under one id are ordered by a hash of the
-    text.  A null id comes last.  Only DataFrame functions are used.
+    text.  A null id comes last.  Texts of any length are taken whole, columns other than doc_id and
+    text are left out, an empty table gives no rows.  Only DataFrame functions are used.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.xxhash64("text"))
     ids = d.select("doc_id", "k", F.length("text").cast("long").alias("n")).groupBy("doc_id", "k", "n").agg(F.count(F.lit(1)).alias("copies"))
@@ -108,4 +121,5 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts. See fingerprint_documents for odd rows."""
     return fingerprint_documents(table(spark, sf_dir, "documents"))

@@ -110,7 +110,8 @@ def pack_documents(docs: DataFrame, path: str, most: int = MAX_TOKENS, end_id: i
     A document's ids end in end_id, so that a null or empty text is that one id.  Every piece
     has a power of two of ids, at most ``most``, and is a sequence of its own: no padding,
     and offset is 0.  Sequences of one length are numbered in turn, shortest first, without
-    gaps.  Repeated rows are packed each.  An empty table gives no rows.
+    gaps.  Repeated rows are packed each.  Columns other than doc_id and text are left out, and an
+    empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     end = end_id.to_bytes(4, "little")
@@ -152,4 +153,5 @@ def pack_documents(docs: DataFrame, path: str, most: int = MAX_TOKENS, end_id: i
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents. See pack_documents for odd rows."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))

@@ -145,10 +145,11 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: law ``bytes``, groups of equal texts kept together.
 
     Groups are ordered by a 64-bit hash of their text (equal hashes count as one group).
-    A null text has no bytes, the checksum 0, and is a group like any other.  Repeated rows
-    are placed each.  An empty table gives no rows.  Only DataFrame functions are used.
+    A null text has no bytes, the checksum 0, and lies with the empty ones.  Repeated rows
+    are placed each, and rows of one group, id and size in any order.  Columns other than doc_id and
+    text are left out.  An empty table gives no rows.  Only DataFrame functions are used.
     """
-    base = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("k"))
+    base = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"))
     base = stash(base, "sizes")
     groups = stash(base.groupBy("k").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
@@ -159,4 +160,5 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards by bytes. See shard_documents for odd rows."""
     return shard_documents(table(spark, sf_dir, "documents"))

@@ -20,6 +20,8 @@ from .common import fresh, new_path, small_batches, stash, table
 VERSION, GZIP, BLOCK = b"WARC/1.1", b"\x1f\x8b\x08", 1 << 16
 #: A file is closed once it holds so many bytes.
 FILE_BYTES = 8 << 20
+#: No cell of a table holds more: a member that unpacks to more is quarantined before it fills the memory.
+MOST_BYTES = (1 << 31) - 1
 FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)\r?\n")
 
 
@@ -82,15 +84,21 @@ def parse(data: bytes, whole: bool) -> tuple[dict[str, str], bytes, int]:
 
 def inflate(read: Callable[[int, int], bytes], offset: int) -> tuple[bytes, int]:
     """The data of the gzip member at offset and the member's length; its checksum is checked."""
-    unpack, parts, at = zlib.decompressobj(31), [], offset
+    unpack, parts, at, size = zlib.decompressobj(31), [], offset, 0
     while not unpack.eof:
         block = read(at, BLOCK)
         if not block:
             raise Damaged("member is cut off")
-        try:
-            parts.append(unpack.decompress(block))
-        except zlib.error as e:
-            raise Damaged(f"bad member: {e}") from None
+        rest = block
+        while rest and not unpack.eof:
+            try:
+                parts.append(unpack.decompress(rest, 16 * BLOCK))
+            except zlib.error as e:
+                raise Damaged(f"bad member: {e}") from None
+            rest = unpack.unconsumed_tail
+            size += len(parts[-1])
+            if size > MOST_BYTES:
+                raise Damaged("member unpacks to more than a cell can hold")
         at += len(block)
     return b"".join(parts), at - len(unpack.unused_data) - offset
 
@@ -164,7 +172,8 @@ def write_pages(pages: DataFrame, folder: str) -> DataFrame:
 
     Of equal payloads, the page with the largest page_id is a response, the others revisit it.
     A null html is an empty payload.  Rows that repeat the largest page_id are all responses;
-    a page without an id is a response only if none of its payload has one.  A file's name
+    a page without an id is a response only if none of its payload has one.  Columns other than
+    page_id, url and html are left out; an empty table writes no files.  A file's name
     has its attempt in it and the caller reads the files named here only, so that what a
     lost or repeated task has left does no harm.
     """
@@ -233,10 +242,24 @@ def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
     return files.select("path", "folder").repartition(parts).mapInArrow(run, schema)
 
 
+def recover(files: DataFrame, name: str = "quarantine") -> tuple[DataFrame, DataFrame]:
+    """(records, gaps) of the files of a manifest, each read once: gaps are the quarantine log, a stored table of
+    path, offset, length and reason of all bytes that no valid record holds."""
+    found = stash(read_archives(files, payloads=False), name, "zstd")
+    return found.where("kind = 'record'"), found.where("kind = 'gap'").select("path", "offset", "length", "reason")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write pages as WARC, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write pages as WARC, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A row for each page; see write_pages for odd rows.  If any record that was written isn't read
+    back the query fails and names the damage, so that no page goes missing unseen.
+    """
     files = write_pages(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
-    r = read_archives(files, payloads=False).where("kind = 'record'")
+    r, gaps = recover(files)
+    written, read, lost = files.agg(F.sum("records")).first()[0] or 0, r.count(), gaps.count()
+    if written != read or lost:
+        raise RuntimeError(f"{written} records were written and {read} read; {lost} gaps, such as {gaps.head(3)}")
     h = lambda name: F.col("headers")[name]
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d*)>$", 1).try_cast("long")
     revisit = h("WARC-Type") == "revisit"
