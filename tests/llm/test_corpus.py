@@ -174,7 +174,7 @@ def test_sharding(spark, hot, monkeypatch):
         by[r.shard].append(r)
         where[text[r.doc_id]].add(r.shard)
     assert all(len(s) == 1 for s in where.values()) and all(sorted(r.slot for r in g) == list(range(len(g))) for g in by.values())
-    keys = {r.k: r.bytes for r in df.selectExpr("xxhash64(text) k", "coalesce(octet_length(text), 0) + 8 b").groupBy("k").agg({"b": "sum"}).withColumnRenamed("sum(b)", "bytes").collect()}
+    keys = {r.k: r.bytes for r in df.selectExpr("xxhash64(coalesce(text, '')) k", "coalesce(octet_length(text), 0) + 8 b").groupBy("k").agg({"b": "sum"}).withColumnRenamed("sum(b)", "bytes").collect()}
     assert max(sum(r.size for r in g) for g in by.values()) == best_capacity([keys[k] for k in sorted(keys)], 6)
     assert shards.shard_documents(spark.createDataFrame([], DOCS)).count() == 0
 
