@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .ranges import RANGE, carried, cut, extended, matched
+
 COLUMNS = ("seq", "start_ps", "end_ps", "type", "selections")
 
 
@@ -57,21 +59,34 @@ def precedes_pairs(left, right):
     return all_pairs(left, right, F.col("a.end_ps") < F.col("b.start_ps"))
 
 
-def bin_width(left: DataFrame, right: DataFrame) -> float:
-    """A width such that events fall into few bins and bins hold few events: mean length and mean distance of starts."""
-    each = left.select("start_ps", "end_ps").unionByName(right.select("start_ps", "end_ps"))
-    r = each.agg(F.avg(F.col("end_ps") - F.col("start_ps")).alias("length"), (F.max("start_ps") - F.min("start_ps")).alias("span"), F.count(F.lit(1)).alias("n")).first()
-    return max(r.length or 0.0, (r.span or 0.0) / max(r.n, 1) * 4, 1e-9)
+#: Bins that an event is first dealt to in blocks of.
+BLOCK = 1 << 12
+
+
+def bin_widths(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(traj_id, width): such that all events together fall into about three bins each and bins hold few events: mean length and mean distance of starts."""
+    each = left.select("traj_id", "start_ps", "end_ps").unionByName(right.select("traj_id", "start_ps", "end_ps"))
+    length, span = F.avg(F.col("end_ps") - F.col("start_ps")), F.max("start_ps") - F.min("start_ps")
+    return each.groupBy("traj_id").agg(F.greatest(length, span / F.count(F.lit(1)) * 4, F.lit(1e-9)).alias("width"))
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, width: float | None = None) -> DataFrame:
     """Pairs whose closed intervals meet: joined by time bins, each pair kept in the first bin that both touch."""
-    w = F.lit(width or bin_width(left, right))
-    bins = lambda s: F.sequence(F.floor(F.col(f"{s}.start_ps") / w), F.floor(F.col(f"{s}.end_ps") / w))
-    a = side(left, "a").select("traj_id", "a", F.explode(bins("a")).alias("bin"))
-    b = side(right, "b").select("traj_id", "b", F.explode(bins("b")).alias("bin"))
-    first = F.floor(F.greatest("a.start_ps", "b.start_ps") / w)
-    return a.join(b, ["traj_id", "bin"]).where((F.col("a.start_ps") <= F.col("b.end_ps")) & (F.col("b.start_ps") <= F.col("a.end_ps")) & (F.col("bin") == first)).drop("bin")
+    widths = None if width else bin_widths(left, right)
+
+    def binned(events: DataFrame, name: str) -> DataFrame:
+        d = events.select("traj_id", *[F.col(c).alias(f"{name}_{c}") for c in COLUMNS])
+        d = d.withColumn("width", F.lit(width)) if widths is None else matched(d, widths, ["traj_id"])
+        d = d.withColumns({bound: F.floor(F.col(f"{name}_{end}") / F.col("width")) for bound, end in (("low", "start_ps"), ("high", "end_ps"))})
+        # A long event in two steps, so that no row holds all its bins.
+        d = d.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / BLOCK), F.floor(F.col("high") / BLOCK))))
+        inside = F.sequence(F.greatest(F.col("low"), F.col("block") * BLOCK), F.least(F.col("high"), F.col("block") * BLOCK + (BLOCK - 1)))
+        return d.withColumn("bin", F.explode(inside)).drop("low", "high", "block")
+
+    a, b = binned(left, "a"), binned(right, "b").drop("width")
+    first = F.floor(F.greatest("a_start_ps", "b_start_ps") / F.col("width"))
+    meet = a.join(b, ["traj_id", "bin"]).where((F.col("a_start_ps") <= F.col("b_end_ps")) & (F.col("b_start_ps") <= F.col("a_end_ps")) & (F.col("bin") == first))
+    return meet.select("traj_id", *[F.struct(*[F.col(f"{name}_{c}").alias(c) for c in COLUMNS]).alias(name) for name in "ab"])
 
 
 def during_pairs(left, right, width=None):
@@ -92,19 +107,24 @@ def next_pairs(left: DataFrame, right: DataFrame, within: float | None = None) -
 
     Both lists in one order of falling time, the last b met so far goes to each a: a sort, no
     pairs.  With a window of time the sort is by bins of twice that width, so that a long
-    trajectory is no single task; each b also stands in the bin before its own.
+    trajectory is no single task; each b also stands in the bin before its own.  Without one it
+    is by ranges of time, each of which knows the earliest b of those after it.
     """
     none = F.lit(None)
     a = side(left, "a").select("traj_id", F.col("a.end_ps").alias("at"), F.lit(1).alias("is_a"), F.lit(None).cast("array<long>").alias("place"), "a")
     b = side(right, "b").select("traj_id", F.col("b.start_ps").alias("at"), F.lit(0).alias("is_a"), F.col("b.seq").alias("place"), "b")
-    own = ["traj_id"]
-    if within is not None:
+    empty = (a.withColumn("b", none.cast(b.schema["b"].dataType)), b.withColumn("a", none.cast(a.schema["a"].dataType)))
+    if within is None:
+        both = cut(empty[0].unionByName(empty[1]), ["traj_id"], F.col("at"))
+        earliest = F.min_by("b", F.when(F.col("is_a") == 0, F.struct("at", "place")))  # of a range; null where it has no b
+        both = carried(both, ["traj_id"], True, __later=(earliest, F.first("__later", ignorenulls=True)))
+        own = ["traj_id", RANGE]
+    else:
         bin_ = F.floor(F.col("at") / F.lit(2 * max(float(within), 1e-6)))
-        a, b = a.withColumn("bin", bin_), b.withColumn("bin", F.explode(F.array(bin_ - 1, bin_)))
-        own.append("bin")
-    both = a.withColumn("b", none.cast(b.schema["b"].dataType)).unionByName(b.withColumn("a", none.cast(a.schema["a"].dataType)))
+        both = empty[0].withColumn("bin", bin_).unionByName(empty[1].withColumn("bin", F.explode(F.array(bin_ - 1, bin_)))).withColumn("__later", none.cast(b.schema["b"].dataType))
+        own = ["traj_id", "bin"]
     w = Window.partitionBy(*own).orderBy(F.desc("at"), F.asc("is_a"), F.desc("place")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = both.withColumn("b", F.last("b", ignorenulls=True).over(w)).where("is_a = 1 AND b IS NOT NULL").select("traj_id", "a", "b")
+    out = both.withColumn("b", F.coalesce(F.last("b", ignorenulls=True).over(w), F.col("__later"))).where("is_a = 1 AND b IS NOT NULL").select("traj_id", "a", "b")
     return out if within is None else out.where(F.col("b.start_ps") - F.col("a.end_ps") <= F.lit(float(within)))
 
 
@@ -125,8 +145,13 @@ def repeated(events: DataFrame, count: int, within: float | None = None) -> Data
     """REPEATS: every window of count events that follow each other in the list."""
     if count > 0x7FFFFFFF:
         return events.where(F.lit(False))
-    last = F.lead("end_ps", count - 1).over(Window.partitionBy("traj_id").orderBy("seq")) if count > 1 else F.col("end_ps")
-    d = events.withColumn("__last", last).where(F.col("__last").isNotNull()).withColumn("__span", F.col("__last") - F.col("start_ps"))
+    d = events
+    if count > 1:  # parts of a list are in order of the first place, which comes first in seq
+        d = extended(cut(events, ["traj_id"], F.col("seq")[0]), ["traj_id"], [F.col("seq")], count - 1)
+        d = d.withColumn("__last", F.lead("end_ps", count - 1).over(Window.partitionBy("traj_id", RANGE).orderBy("seq"))).where("NOT __guest")
+    else:
+        d = d.withColumn("__last", F.col("end_ps"))
+    d = d.where(F.col("__last").isNotNull()).withColumn("__span", F.col("__last") - F.col("start_ps"))
     if within is not None:
         d = d.where(F.col("__span") <= F.lit(float(within)))
     meta = F.create_map(F.lit("source_type"), F.col("type"), F.lit("repeat_count"), F.lit(str(count)), F.lit("repeat_span_ps"), fixed(F.col("__span")))

@@ -50,8 +50,17 @@ def test_relations(two_lists, relation):
     assert got == brute(a.collect(), b.collect(), RULES[relation])
 
 
+@pytest.fixture(params=[1 << 16, 2])
+def long_lists(request, monkeypatch):
+    """Lists of more than so many rows are cut into ranges."""
+    from kinetrace.operators import ranges
+
+    monkeypatch.setattr(ranges, "LIST", request.param)
+    monkeypatch.setattr(ranges, "RANGES", 7)
+
+
 @pytest.mark.parametrize("within", [None, 0.0, 2.0])
-def test_next(two_lists, within):
+def test_next(two_lists, within, long_lists):
     a, b = two_lists
     want = []
     for x in a.collect():
@@ -62,7 +71,7 @@ def test_next(two_lists, within):
     assert sorted((r.traj_id, r.a.seq, r.b.seq) for r in T.next_pairs(a, b, within).collect()) == sorted(want)
 
 
-def test_list_order_decides_ties_and_repeats(spark):
+def test_list_order_decides_ties_and_repeats(spark, long_lists):
     a = event_table(spark, [("t", 0, 1, "a"), ("t", 3, 4, "a"), ("t", 7, 8, "a"), ("t", 12, 13, "a")])
     assert [(r.start_ps, r.end_ps) for r in T.repeated(a, 3).orderBy("seq").collect()] == [(0, 8), (3, 13)]
     assert [(r.start_ps, r.end_ps) for r in T.repeated(a, 3, 8.0).collect()] == [(0, 8)]
@@ -96,7 +105,7 @@ def test_islands_by_chunks(spark, chunk):
         islands(df.withColumn("time_ps", F.when(F.col("frame_idx") == 50, 0.0).otherwise(F.col("time_ps"))), {"p": F.col("p")}, ["traj_id"], "frame_idx", "time_ps", chunk).collect()
 
 
-def test_analytics(spark):
+def test_analytics(spark, long_lists):
     r = EventResults(event_table(spark, [("t", 0, 1, "A"), ("t", 2, 3, "B"), ("t", 4, 5, "A"), ("t", 6, 7, "B"), ("t", 20, 21, "C")]))
     s = r.recurrence_statistics()
     assert s["A"] == {"count": 2, "total_duration_ps": 2.0, "mean_duration_ps": 1.0, "median_duration_ps": 1.0, "mean_gap_ps": 3.0} and s["C"]["mean_gap_ps"] == 0.0
@@ -117,6 +126,21 @@ def test_analytics(spark):
     assert none.temporal_clusters(max_gap_ps=1) == [] and none.transition_matrix() == {} and repr(none) == "Events: none"
 
 
+def test_analytics_in_ranges(spark, monkeypatch):
+    """Lists with ties, cut into ranges or not, give the same."""
+    from kinetrace.operators import ranges
+
+    rng = random.Random(12)
+    rows = [(t, s, s + rng.choice([0, 1, 2, 9]), rng.choice("ABC")) for t in ("p", "q", None) for s in (rng.randrange(50) for _ in range(40))]
+    e = event_table(spark, sorted(rows, key=str)).withColumn("k", F.col("seq")[0]).cache()
+    seen = []
+    for limit in (1 << 16, 3):
+        monkeypatch.setattr(ranges, "LIST", limit)
+        tables = [A.recurrence_statistics(e), A.recurrence_statistics(e, ()), A.conditional_probability(e, "A", "B", 3.0), A.transitions(e, tie=("k",)), A.transitions(e, 1.0, (), ("k",)), A.motifs(e, 3, tie=("k",)), A.motifs(e, 5, 20.0, (), ("k",)), A.motifs(e, 1), A.temporal_clusters(e, 1.0, tie=("k",)), A.graph_nodes(e, tie=("k",)), A.graph_edges(e, 4.0, tie=("k",)), T.repeated(e.drop("k"), 4), T.repeated(e.drop("k"), 30, 45.0)]
+        seen.append([sorted(map(str, d.collect())) for d in tables])
+    assert seen[0] == seen[1] and all(seen[0])
+
+
 @pytest.mark.parametrize("grid_from", [1 << 15, 0])
 def test_contacts_against_plain_loops(grid_from, monkeypatch):
     monkeypatch.setattr(K, "GRID_PAIRS", grid_from)
