@@ -12,10 +12,13 @@ _PLACES = {
     "Trajectory": ".plans.api",
     "distance": ".functions.kernels",
     "explain": ".plans.planner",
+    "explain_query": ".plans.planner",
     "load": ".plans.api",
     "minimum_image_distance": ".functions.kernels",
     "minimum_image_distance_cell": ".functions.kernels",
     "optional_backend_available": ".sources.readers",
+    "parse_duration_ps": ".functions.units",
+    "parse_query": ".plans.language",
     "supported_trajectory_extensions": ".sources.readers",
     "validate": ".plans.planner",
 }

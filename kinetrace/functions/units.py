@@ -74,3 +74,7 @@ def standard_atomic_mass_da(element: str) -> float:
 def short(value: float) -> str:
     """A number in six significant digits."""
     return f"{value:g}"
+
+
+def parse_duration_ps(text: str) -> float:
+    return parse_duration(text)

@@ -89,3 +89,14 @@ def test_minimum_image():
     assert math.isclose(K.minimum_image_distance_cell([0.1, 0, 0], [1.9, 0, 0], [[2, 0.1, 0], [0, 2, 0], [0, 0, 2]]), math.sqrt(0.05), rel_tol=1e-9)
     with pytest.raises(ValueError):
         K.minimum_image_distance([0, 0, 0], [1, 0, 0], [1, 0, 1])
+
+
+def test_helpers():
+    import kinetrace
+    from kinetrace.sources.topology import Topology
+
+    assert kinetrace.parse_query("FIND CONTACT(resid 1, resid 2)") == 0 and kinetrace.parse_query("FIND RG(protein) < 1nm") == 14
+    assert kinetrace.parse_query("FIND CONTACT(resid 1, resid 2) FOLLOWED_BY CONTACT(resid 1, resid 3)") == 17 and kinetrace.parse_query("FIND CONTACT(resid 1, resid 2) OR CONTACT(resid 1, resid 3)") == 26
+    assert kinetrace.distance((0, 0, 0), (0.3, 0.4, 0)) == 0.5 and kinetrace.parse_duration_ps("2ns") == 2000
+    top = Topology.parse_pdb(["ATOM      1  CA  ARG A   1       0.000   0.000   0.000  1.00  0.00           C", "ATOM      2  CA  ASP A   2       3.000   0.000   0.000  1.00  0.00           C"])
+    assert kinetrace.explain_query(top, "FIND CONTACT(resid 1, resid 2)") == kinetrace.explain("FIND CONTACT(resid 1, resid 2)", top)
