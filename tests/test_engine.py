@@ -129,6 +129,45 @@ def test_ranges_of_bytes_give_the_same_frames(tmp_path, spark, kind):
         assert cut.rdd.getNumPartitions() > 1 and cut.orderBy("frame_idx").collect() == whole
 
 
+def dcd_bytes(order, frames, cell=None, atoms=2, fixed=0):
+    """A file of frames (atoms, 3) in angstrom, with the records of the common molecular dynamics programs."""
+    import struct
+
+    def record(data):
+        mark = struct.pack(f"{order}i", len(data))
+        return mark + data + mark
+
+    control = [len(frames), 0, 1, 0, 0, 0, 0, 0, fixed, 0, int(cell is not None), *[0] * 8, 24]
+    out = record(b"CORD" + struct.pack(f"{order}20i", *control)) + record(struct.pack(f"{order}i", 1) + b"title".ljust(80)) + record(struct.pack(f"{order}i", atoms))
+    for f in frames:
+        if cell is not None:
+            out += record(struct.pack(f"{order}6d", *cell))
+        for axis in range(3):
+            out += record(np.array(f, f"{order}f4")[:, axis].tobytes())
+    return out
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_dcd(tmp_path, spark, order):
+    two = Topology.of([Atom(0, "CA", "ARG", 1, "A", "C"), Atom(1, "CA", "ASP", 2, "A", "C")])
+    places = [[(k, 0, 0), (k + 3, 1, 2)] for k in range(50)]
+    path = tmp_path / "t.dcd"
+    path.write_bytes(dcd_bytes(order, places, (20.0, 60.0, 20.0, 90.0, 90.0, 30.0)))
+    for size in (300, 1700, 1 << 20):
+        df = readers.frames(spark, str(path), two, 2.0, size)
+        rows = df.orderBy("frame_idx").collect()
+        assert [(r.frame_idx, r.time_ps) for r in rows] == [(k, 2.0 * k) for k in range(50)] and (size == 1 << 20 or df.rdd.getNumPartitions() > 1)
+        assert all(np.allclose(r.coords, np.ravel(places[k]) * 0.1) and np.allclose(r.cell, [2, 0, 0, 1, math.sqrt(3), 0, 0, 0, 3]) for k, r in enumerate(rows))
+    path.write_bytes(dcd_bytes(order, places[:3]))
+    assert [r.cell for r in readers.frames(spark, str(path), two).collect()] == [None] * 3
+    t = load(path, topology=two, spark=spark)
+    assert [(e.start_ps, e.end_ps) for e in t.query("FIND CONTACT(resid 1, resid 2, cutoff=0.4nm)")] == [(0, 2)]
+    for damage, message in ((dcd_bytes(order, places)[:-5], "Truncated DCD frame"), (b"junk" * 40, "Malformed DCD header"), (dcd_bytes(order, places, fixed=1), "fixed atoms"), (dcd_bytes(order, [[(0, 0, 0)] * 3], atoms=3), "has 3 atoms")):
+        path.write_bytes(damage)
+        with pytest.raises(Exception, match=message):
+            readers.frames(spark, str(path), two).collect()
+
+
 def test_plans_read_no_file(tmp_path, spark, monkeypatch):
     """Runs are made of what tasks report; damage inside a range is met by the run before it."""
     path = tmp_path / "many.xyz"
