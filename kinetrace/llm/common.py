@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import math
 import tempfile
 import uuid
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,6 +82,22 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, rows)
 
 
+def tidied(run):
+    """An Arrow function that gives memory back when it ends: its worker lives on and shares an executor with those of other stages."""
+
+    @wraps(run)
+    def whole(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return whole
+
+
 def held_out(doc_id: str, modulus: int, remainder: int):
     """Whether a row lies in the fold that is not learned from; false where the id is null."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
@@ -163,10 +180,10 @@ def key_filter(keys: DataFrame, n: int) -> bytes:
 def maybe_held(data: bytes, key: Column) -> Column:
     """held for a column of keys that aren't null: only they go to Python, not the rows."""
 
-    def run(keys: pd.Series) -> pd.Series:
-        return pd.Series(held(data, keys.to_numpy()))
+    def run(keys: pa.Array) -> pa.Array:
+        return pa.array(held(data, keys.to_numpy()))
 
-    return F.pandas_udf(run, "boolean")(key)
+    return F.arrow_udf(run, "boolean")(key)
 
 
 def numbered(df: DataFrame, group: list[str], by: list[str], total: int, out: str) -> DataFrame:

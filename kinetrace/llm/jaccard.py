@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, fresh, held, key_filter, maybe_held, named, names_of, small_batches, stash, stash_by, table
+from .common import components, discard, fresh, held, key_filter, maybe_held, named, names_of, small_batches, stash, stash_by, table, tidied
 
 WORDS, PERCENT = 5, 75
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
@@ -41,6 +41,8 @@ HUBS = (1, 16)
 ROUNDS = len(HUBS)
 #: Members of an open list to which distances are measured before its other pairs are.
 REFERENCES = 3
+#: The partners of a class are held in so many lists.
+PARTNER_LISTS = 16
 #: Width of the bands of distances that pairs of an open list are looked for in, a little over the length of a link.
 BAND = 1 - PERCENT / 100 + 4e-9
 #: All pairs of a list of so many classes are candidates; longer lists go by hubs.
@@ -110,6 +112,7 @@ def surveyed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     names = ["block", "counts", "doc_id", "h", "c1", "c2", "n_shingles"]
     types = [pa.int64(), pa.binary(), *[pa.int64()] * 5]
 
+    @tidied
     def run(batches):
         total, seen = np.zeros(size, np.int64), False
         for b in batches:
@@ -210,6 +213,7 @@ def listed(docs: DataFrame, counts: np.ndarray, boundary: int, renamed: dict[tup
     names = ["key", "c", "n", "r"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
+    @tidied
     def run(batches):
         met: set[tuple[int, int]] = set()
 
@@ -235,6 +239,7 @@ def listed(docs: DataFrame, counts: np.ndarray, boundary: int, renamed: dict[tup
     out_names = [*names, "d", "m"]
     out_types = [*types, pa.int64(), pa.int32()]
 
+    @tidied
     def read(batches):
         last, long = [np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32)], None
         for b in chain(batches, [None]):
@@ -304,6 +309,7 @@ def short_pairs(found: DataFrame, lists: DataFrame) -> DataFrame:
 def sets_of(docs: DataFrame, wanted: bytes, renamed: dict[tuple[int, int], int]) -> DataFrame:
     """(c, s): the sets of the classes that the filter holds (and a few more), by task one row for each class."""
 
+    @tidied
     def run(batches):
         met = set()
         for b in batches:
@@ -325,14 +331,16 @@ def sets_of(docs: DataFrame, wanted: bytes, renamed: dict[tuple[int, int], int])
 def measured(pairs: DataFrame, sets: DataFrame, hubs: bool = False) -> DataFrame:
     """(a, b, common, union) of pairs (a, b); sets lie in buckets of c and aren't dealt out again.
 
-    hubs: few classes b stand in many pairs. Their sets are dealt anew together with the
-    pairs, so that AQE may split the pairs of one hub.
+    The partners of a class meet its set in some lists, not one by one.  hubs: few classes b
+    stand in many pairs.  Their sets are dealt anew together with the pairs, so that AQE may
+    split the pairs of one hub.
     """
     theirs = sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
     if hubs:
         theirs = fresh(theirs.join(pairs.select("b").distinct(), "b", "left_semi"))
-    left = pairs.join(theirs, "b")
-    both = left.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
+    partners = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(PARTNER_LISTS)).alias("part")).agg(F.collect_list("b").alias("bs"))
+    left = partners.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").select("a", "sa", F.explode("bs").alias("b"))
+    both = left.join(theirs, "b")
     both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
     return both.select("a", "b", "common", (F.col("total") - F.col("common")).alias("union"))
 

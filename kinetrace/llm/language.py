@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import excerpt, held_out, small_batches, table
+from .common import excerpt, held_out, small_batches, table, tidied
 
 ORDERS, BUCKETS = (1, 2, 3, 4), 1 << 16
 #: The training sample: about so many documents of each language; of longer ones than so many code points an excerpt; the most languages, those of most documents.
@@ -183,6 +183,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     names, at = list(docs.columns), docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
 
+    @tidied
     def run(batches):
         for b in batches:
             lang, score, unclear = model.predict(b.column(at).to_pylist())

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, fresh, key_filter, maybe_held, small_batches, stash, table
+from .common import BLANKS, LOWER, UPPER, fresh, held, key_filter, maybe_held, small_batches, stash, table, tidied
 
 MIN_CHARS, MIN_DOCS = 10, 2
 
@@ -69,30 +69,38 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     # Names of our own that no input column has.
     id_, h, gone = (next(f"{n}{i}" for i in range(len(docs.columns) + 1) if f"{n}{i}" not in docs.columns) for n in ("drop_id", "drop_h", "drop"))
     here = docs.withColumn(h, F.xxhash64("doc_id", text_hash()))
-    losing = drop.select(F.xxhash64("doc_id", "h").alias("key"), "doc_id", F.col("h").alias("own"), F.col("drop").alias(gone))
+    losing = drop.select(F.col("doc_id").alias(id_), F.xxhash64("doc_id", "h").alias(h), F.col("drop").alias(gone))
     n = losing.count()
-    if n:
-        losing = losing.select(F.col("doc_id").alias(id_), F.col("key").alias(h), gone)
-        bits = key_filter(losing.select(h), n)
-        here = here.withColumn("hit" + h, maybe_held(bits, F.col(h)))
-        dealt = here.where(F.col("hit" + h)).drop("hit" + h)
-        both = dealt.join(losing.hint("merge"), (dealt[h] == losing[h]) & (F.col("doc_id") == F.col(id_)), "left").select(*[dealt[c] for c in docs.columns], gone)
-        both = both.unionByName(here.where(~F.col("hit" + h)).select(*docs.columns, F.lit(None).cast("array<int>").alias(gone)))
-    else:
-        both = docs.withColumn(gone, F.lit(None).cast("array<int>"))
-    everything = list(both.columns)
-    where = everything.index("text"), everything.index(gone)
-    names = everything[:-1]
-    schema = both.select(*names).schema.add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
+    bits = key_filter(losing.select(h), n) if n else None
+    names, at = list(docs.columns), docs.columns.index("text")
+    schema = docs.select(*names).schema.add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
+
+    def results(cols: list, texts: list, drops: list) -> pa.RecordBatch:
+        done = [without(t, d) for t, d in zip(texts, drops, strict=True)]
+        own = [pa.array([n for n, _ in done], pa.int64()), pa.array([len(d or ()) for d in drops], pa.int64()), pa.array([t for _, t in done], pa.string())]
+        return pa.RecordBatch.from_arrays([*cols, *own], names=[*names, "n_lines", "n_dropped", "kept_text"])
+
+    @tidied
+    def whole(batches):
+        """Texts that lose nothing; the last column is the key."""
+        for b in batches:
+            if bits is not None:
+                b = b.filter(pa.array(~held(bits, b.column(b.num_columns - 1).to_numpy())))
+            texts = b.column(at).to_pylist()
+            yield results(b.columns[:-1], texts, [None] * len(texts))
 
+    @tidied
     def cut(batches):
+        """Texts that may lose lines; the last column has the positions."""
         for b in batches:
-            texts, drops = b.column(where[0]).to_pylist(), b.column(where[1]).to_pylist()
-            done = [without(t, d) for t, d in zip(texts, drops, strict=True)]
-            cols = [*b.columns[:-1], pa.array([n for n, _ in done], pa.int64()), pa.array([len(d or ()) for d in drops], pa.int64()), pa.array([t for _, t in done], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_lines", "n_dropped", "kept_text"])
-
-    return both.mapInArrow(cut, schema)
+            yield results(b.columns[:-1], b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist())
+
+    kept = here.mapInArrow(whole, schema)
+    if not n:
+        return kept
+    dealt = here.where(maybe_held(bits, F.col(h)))
+    both = dealt.join(losing.hint("merge"), (dealt[h] == losing[h]) & (F.col("doc_id") == F.col(id_)), "left").select(*[dealt[c] for c in names], gone)
+    return kept.union(both.mapInArrow(cut, schema))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

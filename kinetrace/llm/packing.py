@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Bpe, tokenizer_path
-from .common import small_batches, stash, table
+from .common import small_batches, stash, table, tidied
 
 MAX_TOKENS, END_ID = 2048, 1
 #: The offsets of buckets are broadcast up to so many rows (24 bytes each), else joined by a shuffle.
@@ -118,6 +118,7 @@ def pack_documents(docs: DataFrame, path: str, most: int = MAX_TOKENS, end_id: i
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "number", *(["ids"] if with_ids else [])]
     types = [pa.int64()] * 7 + [pa.binary()]
 
+    @tidied
     def run(batches):
         from pyspark import TaskContext
 

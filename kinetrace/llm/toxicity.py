@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import excerpt, held_out, small_batches, table
+from .common import excerpt, held_out, small_batches, table, tidied
 from .language import logistic, normal
 
 #: Bytes of a window, and from one to the next.
@@ -229,6 +229,7 @@ def rate(docs: DataFrame, model: Model | None) -> DataFrame:
     names, at = list(docs.columns), docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
+    @tidied
     def run(batches):
         for b in batches:
             score = [model.score(t) if model else 0.0 for t in b.column(at).to_pylist()]
