@@ -16,7 +16,11 @@ The boundary is where the estimated cost, subsets against list entries and what
 a list meets, is least.  Only short lists give all their pairs.  A long list first links its
 members to one of them, in later rounds to some others; only classes of the same
 list that are still in different components are then paired, but for those that the
-triangle inequality keeps apart.  Each pair is verified on whole sets.
+triangle inequality keeps apart.
+
+Candidates are first compared by images of their sets, bitmaps of 1 KB that bound what two
+sets can share; only classes with a pair that may still link are dealt out as whole sets, on
+which each such pair is verified.
 """
 
 from __future__ import annotations
@@ -43,8 +47,13 @@ ROUNDS = len(HUBS)
 REFERENCES = 3
 #: The partners of a class are held in so many lists.
 PARTNER_LISTS = 16
-#: Width of the bands of distances that pairs of an open list are looked for in, a little over the length of a link.
-BAND = 1 - PERCENT / 100 + 4e-9
+#: Bits of the image of a set. An image is crowded if its set has more than CROWDED shingles for each bit set.
+IMAGE_BITS, CROWDED = 1 << 13, 1.25
+#: Most distance of the images of two linked sets, for one shingle a bit: by (n + m) * (100 - PERCENT) / (100 + PERCENT) >= the shingles not shared.
+LINK = 2 * (100 - PERCENT) / (100 + PERCENT)
+#: Width of the bands of distances that pairs of an open list are looked for in, a little over the most for images that aren't crowded.
+BAND = LINK * CROWDED + 4e-9
+BANDS = int(1 / BAND) + 2
 #: All pairs of a list of so many classes are candidates; longer lists go by hubs.
 SHORT_LIST = 16
 PAIRING = np.uint64(0x9E3779B97F4A7C15)
@@ -298,12 +307,15 @@ def short_pairs(found: DataFrame, lists: DataFrame) -> DataFrame:
     shingles of one of them.  A pair of which one is in a long list, or that shares a subset, stays.
     """
     pairs = found.where("d IS NOT NULL").groupBy(F.col("c").alias("a"), F.col("d").alias("b"), "n", "m").agg(F.count(F.lit(1)).alias("t"), F.max((F.col("key").bitwiseAND(1) == 0).cast("int")).alias("subset"), F.max("r").alias("can")).where("can = 1")
+    pairs = counted = stash(pairs, "counted", "zstd")
     behind = lambda n: F.least(F.ceil(PERCENT * F.col(n) / 100) - 1, F.col(n))
     enough = (100 + PERCENT) * (F.col("t") + F.greatest(behind("n"), behind("m"))) >= PERCENT * (F.col("n") + F.col("m"))
     few = pairs.where(~enough & (F.col("subset") == 0))
     long = lists.select("c").distinct()
     spared = few.join(long.withColumnRenamed("c", "a"), "a", "left_semi").union(few.join(long.select(F.col("c").alias("b")), "b", "left_semi").select(*few.columns))
-    return pairs.where(enough | (F.col("subset") == 1)).select("a", "b").union(spared.select("a", "b").distinct())
+    out = stash(pairs.where(enough | (F.col("subset") == 1)).select("a", "b").union(spared.select("a", "b").distinct()), "short-pairs")
+    discard(counted)
+    return out
 
 
 def sets_of(docs: DataFrame, wanted: bytes, renamed: dict[tuple[int, int], int]) -> DataFrame:
@@ -328,42 +340,105 @@ def sets_of(docs: DataFrame, wanted: bytes, renamed: dict[tuple[int, int], int])
     return docs.select("text").mapInArrow(run, "c long, s array<long>")
 
 
-def measured(pairs: DataFrame, sets: DataFrame, hubs: bool = False) -> DataFrame:
-    """(a, b, common, union) of pairs (a, b); sets lie in buckets of c and aren't dealt out again.
+def image(s: np.ndarray) -> bytes:
+    """The bits that a set's shingles fall on."""
+    on = np.zeros(IMAGE_BITS, bool)
+    on[(s & np.uint64(IMAGE_BITS - 1)).astype(np.int64)] = True
+    return np.packbits(on).tobytes()
+
+
+def images_of(docs: DataFrame, wanted: bytes, renamed: dict[tuple[int, int], int]) -> DataFrame:
+    """(c, n, p, image): size, bits set and image of the classes that the filter holds (and a few more), by task one row for each class."""
+
+    @tidied
+    def run(batches):
+        met = set()
+        for b in batches:
+            own = [s for s in shingle_sets(b.column(0).to_pylist()) if len(s) >= 3]
+            named_ = [renamed.get(d, d[0]) for d in map(digest, own)]
+            rows = []
+            for c, s, good in zip(named_, own, held(wanted, np.array(named_, np.int64)), strict=True):
+                if good and c not in met:
+                    met.add(c)
+                    bits = image(s)
+                    rows.append((c, len(s), int(np.bitwise_count(np.frombuffer(bits, np.uint8)).sum()), bits))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["c", "n", "p", "image"])
+
+    return docs.select("text").mapInArrow(run, "c long, n int, p int, image binary")
+
+
+def dealt_by_class(rows: DataFrame, name: str) -> DataFrame:
+    """One row a class, stored in buckets of it."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return stash_by(rows.repartition(parts, "c").dropDuplicates(["c"]), "c", name)
 
-    The partners of a class meet its set in some lists, not one by one.  hubs: few classes b
-    stand in many pairs.  Their sets are dealt anew together with the pairs, so that AQE may
+
+def faced(pairs: DataFrame, classes_: DataFrame, hubs: bool = False) -> DataFrame:
+    """(a, b, x, y): pairs (a, b) with the other columns of both classes; classes_ lies in buckets of c and isn't dealt out again.
+
+    The partners of a class meet its row in some lists, not one by one.  hubs: few classes b
+    stand in many pairs.  Their rows are dealt anew together with the pairs, so that AQE may
     split the pairs of one hub.
     """
-    theirs = sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
+    held_ = F.struct(*[x for x in classes_.columns if x != "c"])
+    theirs = classes_.select(F.col("c").alias("b"), held_.alias("y"))
     if hubs:
         theirs = fresh(theirs.join(pairs.select("b").distinct(), "b", "left_semi"))
     partners = pairs.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(PARTNER_LISTS)).alias("part")).agg(F.collect_list("b").alias("bs"))
-    left = partners.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").select("a", "sa", F.explode("bs").alias("b"))
-    both = left.join(theirs, "b")
-    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
-    return both.select("a", "b", "common", (F.col("total") - F.col("common")).alias("union"))
+    left = partners.join(classes_.select(F.col("c").alias("a"), held_.alias("x")), "a").select("a", "x", F.explode("bs").alias("b"))
+    return left.join(theirs, "b").select("a", "b", "x", "y")
+
+
+def shared_bits(a: pa.Array, b: pa.Array) -> pa.Array:
+    """How many bits are set in both images."""
+    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint64).reshape(len(v), -1) for v in (a, b))
+    return pa.array(np.bitwise_count(x & y).sum(axis=1).astype(np.int32))
+
+
+def imaged(pairs: DataFrame, images: DataFrame, hubs: bool = False) -> DataFrame:
+    """(a, b, n, m, p, q, both) of pairs (a, b): sizes, bits set in either image and in both."""
+    return faced(pairs, images, hubs).select("a", "b", F.col("x.n").alias("n"), F.col("y.n").alias("m"), F.col("x.p").alias("p"), F.col("y.p").alias("q"), F.arrow_udf(shared_bits, "int")("x.image", "y.image").alias("both"))
+
+
+def bounded(pairs: DataFrame, images: DataFrame, hubs: bool = False) -> DataFrame:
+    """The pairs (a, b) that may link by their images: a bit that only one image has stands for a shingle at least that only its set has."""
+    most = F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) + F.col("both")
+    return imaged(pairs, images, hubs).where((100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("m"))).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, hubs: bool = False) -> DataFrame:
     """The pairs (a, b) of which 100 * intersection >= 75 * union."""
-    return measured(pairs, sets, hubs).where(100 * F.col("common") >= PERCENT * F.col("union")).select("a", "b")
+    both = faced(pairs, sets, hubs).select("a", "b", F.size(F.array_intersect("x.s", "y.s")).alias("common"), (F.size("x.s") + F.size("y.s")).alias("total"))
+    return both.where(100 * F.col("common") >= PERCENT * (F.col("total") - F.col("common"))).select("a", "b")
+
+
+def linked(candidates: list[tuple[DataFrame, bool]], docs: DataFrame, images: DataFrame, renamed: dict[tuple[int, int], int]) -> DataFrame:
+    """The links (a, b) of candidates, tables of pairs (and whether few classes b stand in many); only sets of pairs that may link by their images are dealt out."""
+    near = [(stash(bounded(pairs, images, hubs), "near"), hubs) for pairs, hubs in candidates]
+    all_ = reduce(DataFrame.union, [pairs for pairs, _ in near])
+    ids = all_.select(F.col("a").alias("c")).union(all_.select(F.col("b").alias("c"))).distinct()
+    n = ids.count()
+    sets = dealt_by_class(sets_of(docs, key_filter(ids, n), renamed), "sets") if n else None
+    out = stash(reduce(DataFrame.union, [verified(pairs, sets, hubs) for pairs, hubs in near]) if n else all_, "links")
+    discard(*[pairs for pairs, _ in near], sets)
+    return out
 
 
-def placed(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Entries with d0, d1, ...: their Jaccard distances to some members of their list.
+def placed(entries: DataFrame, images: DataFrame) -> DataFrame:
+    """Entries with d0, d1, ...: the Jaccard distances of their images to those of some members of their list, and load: shingles for each bit set.
 
     That distance is a metric: two classes link only if their distances to any third differ
-    by no more than a link is long.
+    by no more than LINK times the larger load, the most that the images of a link are apart.
     """
     marks = entries.groupBy("key").agg(F.array(*[F.min_by("c", F.xxhash64(F.lit(-1 - i), "c")) for i in range(REFERENCES)]).alias("marks"))
     entries = stash(entries.join(fresh(marks), "key"), "marked")
     wanted = entries.select(F.col("c").alias("a"), F.explode("marks").alias("b")).distinct()
-    d = measured(wanted, sets, True).select(F.col("a").alias("c"), F.struct(F.col("b").alias("mark"), (1 - F.col("common") / F.col("union")).alias("d")).alias("x"))
+    d = imaged(wanted, images, True).select(F.col("a").alias("c"), (F.col("n") / F.col("p")).alias("load"), F.struct(F.col("b").alias("mark"), (1 - F.col("both") / (F.col("p") + F.col("q") - F.col("both"))).alias("d")).alias("x"))
     # At most REFERENCES marks for each list that a class is in.
-    d = d.groupBy("c").agg(F.map_from_entries(F.collect_list("x")).alias("distance"))
+    d = d.groupBy("c").agg(F.max("load").alias("load"), F.map_from_entries(F.collect_list("x")).alias("distance"))
     out = entries.join(fresh(d), "c")
-    out = stash(out.select("key", "c", "n", "r", "comp", *[F.element_at("distance", F.col("marks")[i]).alias(f"d{i}") for i in range(REFERENCES)]), "placed")
+    out = stash(out.select("key", "c", "n", "r", "comp", "load", *[F.element_at("distance", F.col("marks")[i]).alias(f"d{i}") for i in range(REFERENCES)]), "placed")
     discard(entries)
     return out
 
@@ -373,15 +448,18 @@ def open_pairs(left: DataFrame) -> DataFrame:
 
     Both sides are dealt by list and band of distances to its first mark; pairs are looked for
     in one band and the next: others are too far apart, and no list is compared as a whole.
+    Crowded images (of very large sets) tell little and are looked for in all bands.
     """
     # A pair is met at the first open key that both have, in the order of all shingles: there r is largest.
     own_keys = left.groupBy("c").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("r")).alias("at"), "key"))), lambda x: x["key"]).alias("keys"))
-    left = left.join(fresh(own_keys), "c").withColumn("band", F.floor(F.col("d0") / BAND))
+    left = left.join(fresh(own_keys), "c").withColumn("band", F.floor(F.col("d0") / BAND).cast("int")).withColumn("crowded", F.col("load") > CROWDED)
+    bands = lambda own: F.when(F.col("crowded"), F.array(*[F.lit(i) for i in range(BANDS)])).otherwise(F.array(*own))
     marks = [f"d{i}" for i in range(REFERENCES)]
-    other = left.select("key", F.col("c").alias("d"), F.col("comp").alias("dcomp"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("keys").alias("other_keys"), "band", *[F.col(x).alias(f"e{x}") for x in marks])
-    other = other.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("step"))
-    near = reduce(and_, [F.abs(F.col(x) - F.col(f"e{x}")) <= 1 - PERCENT / 100 + 1e-9 for x in marks])
-    pairs = left.join(other, ["key", "band"]).where((F.col("step") == 1) | (F.col("c") < F.col("d")))
+    other = left.select("key", F.col("c").alias("d"), F.col("comp").alias("dcomp"), F.col("n").alias("m"), F.col("r").alias("q"), F.col("keys").alias("other_keys"), "band", "crowded", F.col("load").alias("other_load"), *[F.col(x).alias(f"e{x}") for x in marks])
+    other = other.withColumn("own_band", F.col("band")).withColumn("band", F.explode(bands([F.col("own_band"), F.col("own_band") + 1]))).withColumnRenamed("crowded", "other_crowded")
+    left = left.withColumn("band", F.explode(bands([F.col("band")])))
+    near = reduce(and_, [F.abs(F.col(x) - F.col(f"e{x}")) <= LINK * F.greatest("load", "other_load") + 1e-9 for x in marks])
+    pairs = left.join(other, ["key", "band"]).where(F.col("crowded") | F.col("other_crowded") | (F.col("band") > F.col("own_band")) | (F.col("c") < F.col("d")))
     pairs = pairs.where((F.col("comp") != F.col("dcomp")) & linkable("n", "m", "r", "q") & near & (F.get(F.array_intersect("keys", "other_keys"), F.lit(0)) == F.col("key")))
     return pairs.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
 
@@ -393,13 +471,12 @@ def link_classes(docs: DataFrame, own: DataFrame, counts: np.ndarray, renamed: d
     sizes = own.where("n_shingles > 0").groupBy((F.floor(F.col("n_shingles") / step) * step).cast("long").alias("n")).agg(F.countDistinct("c").alias("m")).collect()
     found = stash(listed(docs, counts, choose_boundary({r.n: r.m for r in sizes}, counts), renamed), "lists", "zstd")
     lists = found.where("d IS NULL").select("key", "c", "n", "r")
-    short = stash(short_pairs(found, lists), "short-pairs")
+    short = short_pairs(found, lists)
     ids = short.select(F.col("a").alias("c")).union(short.select(F.col("b").alias("c"))).union(lists.select("c")).distinct()
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Documents without candidates aren't dealt out.
-    sets = stash_by(sets_of(docs, key_filter(ids, ids.count()), renamed).repartition(parts, "c").dropDuplicates(["c"]), "c", "sets")
+    images = dealt_by_class(images_of(docs, key_filter(ids, ids.count()), renamed), "images")
     links = labels = tried = None
-    stored = [found, short, sets]
+    stored = [found, short, images]
     for turn in range(ROUNDS + 1):
         if labels is None:
             now = lists.withColumn("comp", F.col("c"))
@@ -415,7 +492,7 @@ def link_classes(docs: DataFrame, own: DataFrame, counts: np.ndarray, renamed: d
             pairs = now.join(fresh(hubs), "key").where((F.col("comp") != F.col("hub.comp")) & linkable("n", "hub.n", "r", "hub.r")).select(F.col("c").alias("a"), F.col("hub.c").alias("b"))
         else:
             open_ = stash(now.join(fresh(hubs.select("key").distinct()), "key"), "open")
-            left = placed(open_, sets)
+            left = placed(open_, images)
             pairs = open_pairs(left)
             stored += [open_, left]
         pairs = pairs.distinct()
@@ -423,8 +500,7 @@ def link_classes(docs: DataFrame, own: DataFrame, counts: np.ndarray, renamed: d
             ordered = tried.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
             pairs = pairs.join(fresh(ordered), (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti")
         pairs = stash(pairs, "pairs")
-        good = verified(pairs, sets, True)
-        good = stash(good.union(verified(short, sets)) if turn == 0 else good, "links")
+        good = linked([(pairs, True), *[(short, False)] * (turn == 0)], docs, images, renamed)
         stored += [pairs, good]
         tried = pairs.union(short) if tried is None else tried.union(pairs)
         if good.head(1):

@@ -108,6 +108,51 @@ def test_pruned_lists_keep_all_that_may_link():
             assert len(both) and jaccard.may_link(len(s), len(t), r1[i], r2[j]).any()
 
 
+def test_images_keep_all_that_may_link(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 1 << 64, n, np.uint64)
+    sets = []
+    for n in (3, 40, 900, 9000, 30000):  # the last two are crowded
+        base = draw(n)
+        sets += [np.unique(np.concatenate([base[: n - cut], draw(cut)])) for cut in (0, n // 8, n // 7, n // 3)] + [np.unique(draw(n))]
+    bits = [np.unpackbits(np.frombuffer(jaccard.image(s), np.uint8)).astype(bool) for s in sets]
+    table = spark.createDataFrame([(i, len(s), int(b.sum()), jaccard.image(s)) for i, (s, b) in enumerate(zip(sets, bits))], "c long, n int, p int, image binary")
+    pairs = spark.createDataFrame([(i, j) for i in range(len(sets)) for j in range(i)], "a long, b long")
+    kept = {(r.a, r.b) for r in jaccard.bounded(pairs, table, True).collect()}
+    assert kept == {(r.a, r.b) for r in jaccard.bounded(pairs, table).collect()}
+    distance = lambda i, j: 1 - (bits[i] & bits[j]).sum() / (bits[i] | bits[j]).sum()
+    links = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                links += 1
+                load = max(len(sets[x]) / bits[x].sum() for x in (i, j))
+                assert (i, j) in kept and distance(i, j) <= jaccard.LINK * load
+    assert links >= 8
+    assert not any((i, j) in kept for i in range(5, 15) for j in range(5, i) if (i % 5 == 4 or j % 5 == 4))  # strangers
+    assert jaccard.imaged(pairs, table).where(F.col("both") > F.least("p", "q")).count() == 0
+
+
+def test_strangers_in_a_list_are_not_dealt_out_whole(spark, monkeypatch):
+    """Many texts that share a passage, three of them near copies: whole sets only of these."""
+    rng = random.Random(3)
+    passage = sentence(rng, 30)
+    texts = [f"{sentence(rng, 60)} {passage}" for _ in range(40)]
+    texts += [f"{texts[0]} end", f"{texts[0]} stop"]
+    dealt = []
+    own = jaccard.dealt_by_class
+    monkeypatch.setattr(jaccard, "dealt_by_class", lambda rows, name: dealt.append((name, (out := own(rows, name)).count())) or out)
+    monkeypatch.setattr(jaccard, "choose_boundary", lambda *a: 0)
+    monkeypatch.setattr(jaccard, "keys_of", lambda s, counts, boundary: (jaccard.mixed(s) | np.uint64(1), np.full(len(s), len(s))))  # lists of the passage too
+    rows = rows_of(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_components(rows)
+    assert dict(dealt[:1]) == {"images": 42} and all(n <= 10 for name, n in dealt if name == "sets")
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
