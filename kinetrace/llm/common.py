@@ -8,6 +8,7 @@ import hashlib
 import math
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache, wraps
 
 import numpy as np
@@ -42,11 +43,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/kinetrace/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def exchanges_deleted(spark: SparkSession):
+    """What is evaluated meanwhile leaves no exchange files: Spark keeps them until the driver collects its garbage, however much disk they take."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stash(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    with exchanges_deleted(spark):
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored = path, None
     return out
@@ -57,7 +71,8 @@ def stash_by(df: DataFrame, key: str, name: str) -> DataFrame:
     spark = df.sparkSession
     parts, path = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), new_path(spark, name)
     table_ = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    df.write.bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(table_)
+    with exchanges_deleted(spark):
+        df.write.bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(table_)
     out = spark.table(table_)
     out._stored = path, table_
     return out

@@ -153,6 +153,24 @@ def test_strangers_in_a_list_are_not_dealt_out_whole(spark, monkeypatch):
     assert dict(dealt[:1]) == {"images": 42} and all(n <= 10 for name, n in dealt if name == "sets")
 
 
+def test_exchanges_of_stored_tables_are_deleted(spark):
+    import time
+
+    from kinetrace.llm.common import stash, stash_by
+
+    def files():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    for k, put in enumerate((lambda d: stash(d, "exchanged"), lambda d: stash_by(d, "id", "exchanged"))):
+        put(spark.range(2000 + k).repartition(5, "id"))
+        until = time.time() + 20
+        while time.time() < until and any(x.endswith(".data") for x in files() - before):
+            time.sleep(0.2)
+        assert not [x for x in files() - before if x.endswith(".data")], k
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
